@@ -4,8 +4,9 @@
    word in the JVM and window by window in Arrow batches; only windows whose hash is set in a bitmap of the item seeds
    leave the scan. The bitmap has a fixed size, so nothing that grows with the items is broadcast, and the exact match is
    an equi-join on the seed hash.
-2. Seeds of one document and item on one diagonal form runs (gaps and islands). Pairs whose runs could hold the required
-   words go on; all others are settled without their texts.
+2. A pair that holds a passage, or enough of an item in any order, shares so many of its seeds that one is left when the
+   item's most frequent ones are put aside. Pairs meet on those others only, which loses none and keeps stock phrases
+   from joining everything.
 3. Greedy string tiling of the pair's real words: the longest non-overlapping common runs, found with a running
    Karp-Rabin hash and checked word by word, are marked until none reaches the minimum. The tiles give the longest
    passage and the share of the item they cover together, whatever their order.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 
-PASSAGE, SEED = 13, 5
+PASSAGE, SEED, COVERAGE = 13, 5, 0.7
 #: Bits of the seed bitmap: 2 MB, whatever the number of items. More items only let more windows through to the join.
 _BITS = 1 << 24
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -120,50 +121,49 @@ def seed_bitmap(seeds: DataFrame) -> bytes:
 def tiles(a: list, b: list, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (start in a, start in b, length) of the longest non-overlapping common runs, longest first.
 
-    Candidate starts come from windows of ``least`` words with equal Karp-Rabin hashes; each is extended and compared
-    word by word. Rounds repeat until no unmarked run of ``least`` words is left.
+    Starts come from windows of ``least`` words with equal running Karp-Rabin hashes; each is extended and compared word
+    by word. Rounds repeat until no unmarked run of ``least`` words is left.
     """
     used_a, used_b = [False] * len(a), [False] * len(b)
     out: list[tuple[int, int, int]] = []
 
-    def rolling(x: list, used: list[bool]) -> Iterator[tuple[int, int]]:
+    def rolling(x: list) -> Iterator[tuple[int, int]]:
         mod, base = (1 << 61) - 1, 1_000_003
         top = pow(base, least, mod)
-        h = free = 0
-        for i, w in enumerate(x):
-            if used[i]:
-                h = free = 0
-                continue
-            h = (h * base + hash(w)) % mod
-            free += 1
-            if free > least:
-                h = (h - top * hash(x[i - least])) % mod
-            if free >= least:
+        hashes = [hash(w) for w in x]
+        h = 0
+        for i, w in enumerate(hashes):
+            h = (h * base + w) % mod
+            if i >= least:
+                h = (h - top * hashes[i - least]) % mod
+            if i >= least - 1:
                 yield i - least + 1, h
 
-    while True:
-        index: dict[int, list[int]] = {}
-        for i, h in rolling(a, used_a):
-            index.setdefault(h, []).append(i)
+    index: dict[int, list[int]] = {}
+    for i, h in rolling(a):
+        index.setdefault(h, []).append(i)
+    # Marking words only takes matches away, so later rounds need no other starts than these.
+    starts = [(i, j) for j, h in rolling(b) for i in index.get(h, ())]
+    while starts:
         found: list[tuple[int, int, int]] = []
-        best = least
-        for j, h in rolling(b, used_b):
-            for i in index.get(h, ()):
-                if i and j and not used_a[i - 1] and not used_b[j - 1] and a[i - 1] == b[j - 1]:
-                    continue  # part of the run that starts earlier
-                n = 0
-                while i + n < len(a) and j + n < len(b) and not used_a[i + n] and not used_b[j + n] and a[i + n] == b[j + n]:
-                    n += 1
-                if n > best:
-                    found, best = [], n
-                if n == best:
-                    found.append((i, j, n))
-        if not found:
-            return out
+        left, best = [], least
+        for i, j in starts:
+            n = 0
+            while i + n < len(a) and j + n < len(b) and not used_a[i + n] and not used_b[j + n] and a[i + n] == b[j + n]:
+                n += 1
+            if n < least:
+                continue
+            left.append((i, j))
+            if n > best:
+                found, best = [], n
+            if n == best:
+                found.append((i, j, n))
         for i, j, n in found:
             if not any(used_a[i : i + n]) and not any(used_b[j : j + n]):
                 used_a[i : i + n] = used_b[j : j + n] = [True] * n
                 out.append((i, j, n))
+        starts = left
+    return out
 
 
 def leaks(
@@ -171,7 +171,7 @@ def leaks(
     items: DataFrame,
     passage: int = PASSAGE,
     seed: int = SEED,
-    coverage: float = 0.5,
+    coverage: float = COVERAGE,
     doc_id: str = "doc_id",
     item_id: str = "item_id",
     doc_text: str = "text",
@@ -191,23 +191,14 @@ def leaks(
         for b in batches:
             yield from _windows(b, widths, None, table)
 
-    hits = _hashed(docs, doc_id, doc_text).mapInArrow(scan, _SEED_DDL).drop("words").withColumnsRenamed({"id": "doc", "pos": "dpos"})
-    met = hits.join(seeds.withColumnsRenamed({"id": "item", "pos": "ipos"}), ["h", "width"]).select("doc", "item", "width", "words", "dpos", "ipos").distinct()
-    # Runs on a diagonal; one document and item share at most as many seeds as the document has words.
-    w = Window.partitionBy("doc", "item", F.col("dpos") - F.col("ipos")).orderBy("ipos")
-    runs = (
-        met.withColumn("island", F.col("ipos") - F.row_number().over(w))
-        .groupBy("doc", "item", "words", "width", F.col("dpos") - F.col("ipos"), "island")
-        .agg(F.count(F.lit(1)).alias("k"))
-        .withColumn("run", F.col("k") + F.col("width") - 1)
-    )
-    pairs = (
-        runs.groupBy("doc", "item", "words")
-        .agg(F.max("run").alias("run"), F.sum("run").alias("total"))
-        .filter((F.col("run") >= F.least(F.lit(passage), F.col("words"))) | (F.col("total") >= coverage * F.col("words")))
-        .select("doc", "item")
-    )
-    texts = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(doc_text).alias("dt")).join(pairs.distinct(), "doc")
+    hits = materialise(_hashed(docs, doc_id, doc_text).mapInArrow(scan, _SEED_DDL).select(F.col("id").alias("doc"), "width", "h").distinct(), "leak-hits")
+    # A pair worth tiling shares at least ``need`` seeds: enough for a passage, or to cover the share asked for. Then it
+    # shares one that is not among the item's need - 1 most frequent, so those join nothing.
+    usual = hits.groupBy("width", "h").agg(F.count(F.lit(1)).alias("n"))
+    need = F.least(F.least(F.lit(passage), F.col("words")) - F.col("width") + 1, F.ceil(F.lit(coverage) * F.col("words") / F.col("width")))
+    rare = seeds.join(usual, ["width", "h"]).withColumn("at", F.row_number().over(Window.partitionBy("id", "words").orderBy(F.desc("n"), "h", "pos"))).filter(F.col("at") >= need)
+    pairs = hits.join(rare.select("width", "h", F.col("id").alias("item")).distinct(), ["width", "h"]).select("doc", "item").distinct()
+    texts = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(doc_text).alias("dt")).join(pairs, "doc")
     both = texts.join(items.select(F.col(item_id).cast("bigint").alias("item"), F.col(item_text).alias("it")), "item")
     both = both.select("doc", "item", word_array(F.col("dt")).alias("dw"), word_array(F.col("it")).alias("iw"))
 
