@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Java's \s under (?U) plus the four information separators: the characters Python's str.split() splits on.
 WS = r"(?U)[\s\x1c-\x1f]+"
+# Where squeezing changes anything: white space other than one plain space between words.
+_RAGGED_WS = r"(?U)[\s\x1c-\x1f&&[^ ]][\s\x1c-\x1f]*| [\s\x1c-\x1f]+"
 _EDGE_WS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
@@ -16,7 +18,7 @@ def strip(c: Column) -> Column:
 
 def squash(c: Column) -> Column:
     """Every run of white space becomes one space; none at either end."""
-    return F.btrim(F.regexp_replace(c, WS, " "))
+    return F.btrim(F.regexp_replace(c, _RAGGED_WS, " "))
 
 
 def words(c: Column) -> Column:
