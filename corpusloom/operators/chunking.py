@@ -49,6 +49,8 @@ def chunk_sections(df: DataFrame, ids: list[str], heading: str = "heading", text
             for row in pdf.itertuples(index=False):
                 words = row.body.split()
                 spans = list(windows(words, limit - len(row.prefix), drop_contained_tails=drop_contained_tails))
+                if not spans:
+                    continue
                 out = {c: [getattr(row, c)] * len(spans) for c in ids}
                 out |= {"k": range(1, len(spans) + 1), "start_word": [a for a, _ in spans], "n_words": [n for _, n in spans]}
                 out["chunk_text"] = [row.prefix + " ".join(words[a : a + n]) for a, n in spans]

@@ -160,7 +160,8 @@ def page_sections(df: DataFrame, ids: list[str], url: str = "url", html: str = "
             for row in pdf.itertuples(index=False):
                 title, found = sections(row[-1], row[-2], section_words, page_words)
                 rows += [(*row[:-2], title, n, h, t) for n, (h, t) in enumerate(found, 1)]
-            yield pd.DataFrame(rows, columns=schema.names)
+            if rows:
+                yield pd.DataFrame(rows, columns=schema.names)
 
     return pages.mapInPandas(extract, schema)
 

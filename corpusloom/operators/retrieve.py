@@ -67,7 +67,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "key",
                     both = pd.concat([best[qid], new]) if qid in best else new
                     best[qid] = both.sort_values(["distance", "key"]).head(k)
         if best:
-            yield pd.concat(best.values())
+            out = pd.concat(best.values())
+            yield out.assign(key=out["key"].to_numpy(dtype=object))  # one array, whatever the frames were
 
     slim = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v"), *([F.col(label).alias("label")] if label else []))
     found = slim.mapInPandas(nearest, schema)

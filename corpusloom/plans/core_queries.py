@@ -412,7 +412,7 @@ def discovery_apply(spark, d):
 
 # ---------------------------------------------------------------- refresh
 
-_NOW = "2031-02-20T00:00:00+00:00"
+_NOW = "2031-03-04T00:00:00+00:00"
 
 
 @query(
@@ -451,13 +451,13 @@ def _fetched(spark, d):
     "refresh_apply",
     f"""WITH {_QUEUE.replace('@N', '45')}, {_LASTF}, {_CIDS}
     SELECT q.url, q.service, coalesce(array_to_string(CASE WHEN f.status = 200 THEN n.ids ELSE q.chunk_ids END, ','), '-') AS chunk_ids,
-      CASE WHEN f.url IS NULL OR f.status = 0 THEN q.next_check ELSE '2031-03-27T00:00:00+00:00' END AS next_check,
-      CASE WHEN f.url IS NULL OR f.status = 0 THEN q.last_checked ELSE '2031-02-20T00:00:00+00:00' END AS last_checked,
+      CASE WHEN f.url IS NULL OR f.status = 0 THEN q.next_check ELSE '2031-04-08T00:00:00+00:00' END AS next_check,
+      CASE WHEN f.url IS NULL OR f.status = 0 THEN q.last_checked ELSE '2031-03-04T00:00:00+00:00' END AS last_checked,
       CASE WHEN f.status = 200 THEN f.last_modified ELSE q.last_modified END AS last_modified, CASE WHEN f.status = 200 THEN f.etag ELSE q.etag END AS etag
     FROM queue q LEFT JOIN lastf f ON q.url = f.url LEFT JOIN new n ON q.url = n.url""",
 )
 def refresh_apply(spark, d):
-    now = F.lit("2031-02-20 00:00:00").cast("timestamp_ntz")
+    now = F.lit("2031-03-04 00:00:00").cast("timestamp_ntz")
     q = apply_refresh(latest(table(spark, d, "url_snapshots"), 45), _fetched(spark, d), now)
     return q.withColumn("chunk_ids", F.coalesce(F.array_join("chunk_ids", ","), F.lit("-")))
 
