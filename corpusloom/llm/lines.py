@@ -1,10 +1,10 @@
 """Lines that one source repeats over many of its pages, and their removal.
 
 A line's page count within its service is compared with what is found outside it by a log-likelihood ratio, and the
-false-discovery rate over all lines of all services is held at ``fdr`` (Benjamini-Hochberg). Two outside rates are
+false-discovery rate over all lines that repeat at all is held at ``fdr`` (Benjamini-Hochberg). Two outside rates are
 tried and the stronger evidence counts: the line's own page rate in the other services (a 2x2 ratio), and the page
-rate of an ordinary line in the whole corpus. The second is needed because lines such as menu entries come back in
-every service alike: against their own rate elsewhere they show no excess.
+rate of an ordinary (median) line in the whole corpus. The second is needed because lines such as menu entries come
+back in every service alike: against their own rate elsewhere they show no excess.
 
 Defined results
   * rows with a null service, url or text take no part in counts and pass through removal unchanged;
@@ -46,7 +46,7 @@ def exploded_lines(df: DataFrame, id_col: str = "chunk_no", service: str = "serv
 
 
 def line_statistics(lines: DataFrame, pages: DataFrame) -> DataFrame:
-    """One row per service and line: pages that hold it (a), pages of the service (n), -ln p of its excess (nats).
+    """One row per service and line on two or more pages: those pages (a), pages of the service (n), -ln p of the excess.
 
     ``pages`` has svc and page of every row that takes part. Counting goes (svc, line, page) -> (svc, line), both with
     map-side combining, so a line on a third of all rows is reduced before it is shuffled.
@@ -56,9 +56,9 @@ def line_statistics(lines: DataFrame, pages: DataFrame) -> DataFrame:
     n = pages.distinct().groupBy("svc").agg(F.count(F.lit(1)).alias("n"))
     everywhere = per_line.groupBy("h1", "h2").agg(F.sum("a").alias("all_a"), F.count(F.lit(1)).alias("services")).filter("services > 1").drop("services")
     totals = n.agg(F.sum("n").alias("n"))
-    mean = per_line.agg(F.avg("a").alias("mean"))
-    s = per_line.join(n, "svc").join(everywhere, ["h1", "h2"], "left")
-    s = s.withColumn("all_n", totals.scalar()).withColumn("usual", mean.scalar() / totals.scalar())
+    usual = per_line.agg(F.percentile_approx("a", 0.5).alias("usual"))
+    s = per_line.filter("a > 1").join(n, "svc").join(everywhere, ["h1", "h2"], "left")
+    s = s.withColumn("all_n", totals.scalar()).withColumn("usual", usual.scalar() / totals.scalar())
     a, size = F.col("a").cast("double"), F.col("n").cast("double")
     b, other = F.coalesce(F.col("all_a"), F.col("a")) - F.col("a"), (F.col("all_n") - F.col("n")).cast("double")
 
