@@ -10,7 +10,8 @@ superscripts, fractions, circles or squares.
 
 Defined results
   * null and blank texts are left out of pairs and classes and are unchanged by rewriting;
-  * exact copies share a class; pairs are given between documents whose texts differ, copies included;
+  * exact copies share a class; pairs are given between documents whose texts differ, copies included; rows with a null
+    id are in classes but not in pairs;
   * empty tables give empty results; other columns are ignored.
 """
 
@@ -233,10 +234,19 @@ def lookalike_classes(df: DataFrame, id_col: str = "doc_id", text: str = "text")
 
 
 def lookalike_pairs(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_a < doc_b whose texts differ and look the same. Only classes with several spellings are joined."""
+    """doc_a < doc_b whose texts differ and look the same.
+
+    Spellings are paired first, once for all their copies; documents then join their spelling, so that the copies of one
+    text, however many, never meet each other.
+    """
     h = materialise(form_hashes(df, id_col, text), "forms")
-    several = h.select("form", "spelled").distinct().groupBy("form").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("form")
-    h = h.join(several, "form", "left_semi")
-    a = h.select("form", F.col("id").alias("doc_a"), F.col("spelled").alias("sa"))
-    b = h.select("form", F.col("id").alias("doc_b"), F.col("spelled").alias("sb"))
-    return a.join(b, "form").filter("doc_a < doc_b AND sa <> sb").select("doc_a", "doc_b")
+    spellings = h.select("form", "spelled").distinct()
+    several = spellings.groupBy("form").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("form")
+    spellings = spellings.join(several, "form", "left_semi")
+    one, two = spellings.withColumnRenamed("spelled", "sa"), spellings.withColumnRenamed("spelled", "sb")
+    alike = one.join(two, "form").filter("sa < sb").select("sa", "sb")
+    docs = h.filter("id IS NOT NULL").join(several, "form", "left_semi")
+    a = docs.select(F.col("id").alias("a"), F.col("spelled").alias("sa"))
+    b = docs.select(F.col("id").alias("b"), F.col("spelled").alias("sb"))
+    pairs = alike.join(a, "sa").join(b, "sb")
+    return pairs.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"))
