@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
+from ..operators.answer import answered, prompt, responses
 from ..operators.chunking import chunk_sections
 from ..operators.dedupe import keep_first_ranked, keep_last
 from ..operators.extract import page_chunks, page_sections
@@ -21,6 +22,7 @@ from ..operators.tables import delete_keys, insert_if_absent, upsert
 from ..session import shared_dir, table
 from ..sources.chunk_files import fresh_path, read_chunk_files, write_chunk_files
 from ..sources.pages import last_pages, read_through
+from ..sources.progress import read_failed, read_progress, write_failed, write_progress
 from ..sources.sitemaps import sitemap_files, sitemap_urls
 from ..sources.versioned import VersionedTable
 from ..streaming.refresh import read_fetches, run_refresh
@@ -620,6 +622,37 @@ def retrieve_sources(spark, d):
     return sources(_hits_with_text(spark, d, 10))
 
 
+@query(
+    "retrieve_responses",
+    f"""WITH {_topk_sql('TRUE', 10)}, f AS (SELECT qid, rank, service, heading, source_url, distance FROM h JOIN {_DOCS} t USING (key) WHERE key <> qid QUALIFY row_number() OVER (PARTITION BY qid, source_url ORDER BY rank) = 1),
+    s AS (SELECT qid, string_agg(source_url || '#' || rank, ' ' ORDER BY rank) AS sources FROM f GROUP BY qid)
+    SELECT vec_id AS qid, 'echo' AS answer, sources FROM (SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0) q LEFT JOIN s ON s.qid = q.vec_id""",
+)
+def retrieve_responses(spark, d):
+    """Whole answers with a generator that always says the same, read back from their JSON."""
+    hits = _hits_with_text(spark, d, 10)
+    asked = _question_vectors(spark, d, None).select("qid")
+    ready = asked.join(context(hits), "qid", "left").join(hits.groupBy("qid").agg(F.count(F.lit(1)).alias("n_hits")), "qid", "left")
+    ready = ready.select("qid", F.coalesce("n_hits", F.lit(0)).alias("n_hits"), prompt(F.col("context"), F.lit("What is near?")).alias("prompt"))
+    body = responses(answered(ready, lambda p, n: "echo"), sources(hits))
+    j = F.from_json("body", "answer string, sources array<struct<source_url string, rank int>>")
+    return body.select("qid", j.alias("j")).select("qid", "j.answer", F.array_join(F.transform("j.sources", lambda x: F.concat(x["source_url"], F.lit("#"), x["rank"].cast("string"))), " ").alias("sources"))
+
+
+@query(
+    "progress_files",
+    f"""SELECT chunk_id, 'ingested' AS state, '' AS message FROM (SELECT DISTINCT key AS chunk_id FROM vectors WHERE key IS NOT NULL)
+    UNION ALL SELECT chunk_id, CASE WHEN starts_with(message, 'embed:') THEN 'embed' ELSE 'put' END, message FROM {_FAILED} WHERE chunk_id IS NOT NULL""",
+)
+def progress_files(spark, d):
+    """Progress and failures written as files and read back."""
+    path = fresh_path(shared_dir(spark), "progress")
+    write_progress(_ingested(spark, d), path + "/done", _NOW)
+    write_failed(_failed(spark, d), path + "/failed", _NOW)
+    done = read_progress(spark, path + "/done").unionByName(read_progress(spark, path + "/missing"))
+    return done.select("chunk_id", F.lit("ingested").alias("state"), F.lit("").alias("message")).unionByName(read_failed(spark, path + "/failed").withColumnRenamed("stage", "state"))
+
+
 # ---------------------------------------------------------------- streaming
 
 _STATE = f"SELECT url, fetch_no, {_OUTCOME} AS outcome, etag FROM fetch_results WHERE url IS NOT NULL AND status <> 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY fetch_no DESC) = 1"
