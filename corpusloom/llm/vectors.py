@@ -33,7 +33,7 @@ DIM, K = 64, 5
 SAMPLE_ROWS, CELL_ROWS, BLOCK_ROWS = 40_000, 128, 4_000
 #: Bound of the broadcast centroids: 8,192 x 64 float32 are 2 MB.
 MAX_CELLS = 8_192
-PROBES, KEEP, SUBSPACES = 6, 64, 16
+PROBES, KEEP, SUBSPACES = 6, 96, 16
 
 
 def current_vectors(df: DataFrame, dim: int = DIM, key: str = "key", order: str = "put_no", vector: str = "data.float32") -> DataFrame:
