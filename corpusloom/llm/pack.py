@@ -66,7 +66,9 @@ def pack(df: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text:
     """id, part_no, container, first_token, n_tokens: where each document, or each part of one over the capacity, goes."""
     shards = max(1, -(-df.count() // shard_rows))
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), token_count(F.col(text)).alias("n"))
-    docs = docs.withColumn("shard", F.pmod(F.xxhash64("id", "n"), F.lit(shards)).cast("int"))
+    # Repeats of one id are counted map-side and numbered again, so that they spread over the shards like other rows.
+    docs = docs.groupBy("id", "n").agg(F.count(F.lit(1)).alias("copies")).select("id", "n", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("copy"))
+    docs = docs.select("id", "n", F.pmod(F.xxhash64("id", "n", "copy"), F.lit(shards)).cast("int").alias("shard"))
 
     def place(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         (shard,) = key

@@ -212,7 +212,11 @@ def p9_found(spark, d):
     return lookalike_pairs(table(spark, d, "documents")).select(F.col("doc_a").alias("doc_id_a"), F.col("doc_b").alias("doc_id_b"))
 
 
-@query("p9_classes")
+@query(
+    "p9_classes",
+    f"WITH f AS (SELECT doc_id, text, {_form_sql()} AS form FROM documents WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''), "
+    "c AS (SELECT form, min(doc_id) AS class_id, count(DISTINCT text) AS spellings FROM f GROUP BY form) SELECT doc_id, class_id, spellings FROM f JOIN c USING (form)",
+)
 def p9_classes(spark, d):
     return lookalike_classes(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
 
