@@ -294,7 +294,7 @@ def ingest_dry_run(spark, d):
 
 @query(
     "vector_records",
-    f"""SELECT chunk_id AS key, to_json({{'service': service, 'source_url': source_url, 'heading': heading, 'chunk_hash': chunk_hash, 'page_title': page_title}}) AS metadata
+    f"""SELECT chunk_id AS key, to_json({{'service': service, 'source_url': source_url, 'heading': heading, 'chunk_hash': chunk_hash, 'page_title': page_title}})::VARCHAR AS metadata
     FROM {_LAST}""",
 )
 def vector_records(spark, d):

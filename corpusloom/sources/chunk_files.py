@@ -23,7 +23,7 @@ CHUNKS_PER_FILE = 1000
 def write_chunk_files(chunks: DataFrame, path: str, per_file: int = CHUNKS_PER_FILE) -> None:
     """Documents of about ``per_file`` chunks, one per line, null fields left out."""
     n = max(1, -(-chunks.count() // per_file))
-    parts = chunks.select(F.pmod(F.xxhash64("chunk_id", "source_url"), F.lit(n)).alias("part"), F.struct(*CHUNK_FIELDS, "token_count").alias("c"))
+    parts = chunks.select(F.pmod(F.monotonically_increasing_id(), F.lit(n)).alias("part"), F.struct(*CHUNK_FIELDS, "token_count").alias("c"))
     docs = parts.groupBy("part").agg(F.collect_list("c").alias("chunks"))
     meta = F.struct(F.array_sort(F.array_distinct(F.array_compact(F.col("chunks.service")))).alias("services"), F.size("chunks").cast("bigint").alias("total_chunks"), F.lit("complete").alias("status"))
     docs.select(meta.alias("metadata"), "chunks").write.json(path)

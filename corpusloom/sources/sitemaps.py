@@ -17,7 +17,8 @@ def sitemap_urls(df: DataFrame, ids: list[str], xml: str = "xml") -> DataFrame:
 
 
 def sitemap_files(urls: DataFrame, service: str = "service", url: str = "url") -> DataFrame:
-    """service, part, xml: documents of about URLS_PER_FILE URLs each, so that none grows with a service."""
+    """service, part, xml: documents of about URLS_PER_FILE different URLs each, so that none grows with a service."""
+    urls = urls.select(service, url).filter(F.col(url).isNotNull()).distinct()
     parts = urls.groupBy(service).agg(F.ceil(F.count(F.lit(1)) / URLS_PER_FILE).cast("int").alias("_parts"))
     j = urls.join(parts, service).select(F.col(service).alias("service"), F.pmod(F.xxhash64(url), F.col("_parts")).cast("int").alias("part"), F.col(url).alias("url"))
     esc = F.replace(F.replace(F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
