@@ -126,24 +126,30 @@ def tiles(a: list, b: list, least: int) -> list[tuple[int, int, int]]:
     """
     used_a, used_b = [False] * len(a), [False] * len(b)
     out: list[tuple[int, int, int]] = []
-
-    def rolling(x: list) -> Iterator[tuple[int, int]]:
-        mod, base = (1 << 61) - 1, 1_000_003
-        top = pow(base, least, mod)
-        hashes = [hash(w) for w in x]
-        h = 0
-        for i, w in enumerate(hashes):
-            h = (h * base + w) % mod
-            if i >= least:
-                h = (h - top * hashes[i - least]) % mod
-            if i >= least - 1:
+    mod, base = (1 << 61) - 1, 1_000_003
+    top = pow(base, least, mod)
+
+    def rolling(x: list, known: set) -> Iterator[tuple[int, int]]:
+        """(start, hash) of each window; a word that the other side lacks ends a run, so no window holds one."""
+        h = run = 0
+        for i, w in enumerate(x):
+            if w not in known:
+                h = run = 0
+                continue
+            h = h * base + hash(w)
+            if run >= least:
+                h -= top * hash(x[i - least])
+            h %= mod
+            run += 1
+            if run >= least:
                 yield i - least + 1, h
 
     index: dict[int, list[int]] = {}
-    for i, h in rolling(a):
+    in_a, in_b = set(a), set(b)
+    for i, h in rolling(a, in_b):
         index.setdefault(h, []).append(i)
     # Marking words only takes matches away, so later rounds need no other starts than these.
-    starts = [(i, j) for j, h in rolling(b) for i in index.get(h, ())]
+    starts = [(i, j) for j, h in rolling(b, in_a) for i in index.get(h, ())] if index else []
     while starts:
         found: list[tuple[int, int, int]] = []
         left, best = [], least
