@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators.answer import answered, prompt, responses
+from ..operators.answer import NO_TEXT, answered, prompt, responses
 from ..operators.chunking import chunk_sections
 from ..operators.dedupe import keep_first_ranked, keep_last
 from ..operators.extract import page_chunks, page_sections
@@ -625,8 +625,10 @@ def retrieve_sources(spark, d):
 @query(
     "retrieve_responses",
     f"""WITH {_topk_sql('TRUE', 10)}, f AS (SELECT qid, rank, service, heading, source_url, distance FROM h JOIN {_DOCS} t USING (key) WHERE key <> qid QUALIFY row_number() OVER (PARTITION BY qid, source_url ORDER BY rank) = 1),
-    s AS (SELECT qid, string_agg(source_url || '#' || rank, ' ' ORDER BY rank) AS sources FROM f GROUP BY qid)
-    SELECT vec_id AS qid, 'echo' AS answer, sources FROM (SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0) q LEFT JOIN s ON s.qid = q.vec_id""",
+    s AS (SELECT qid, string_agg(source_url || '#' || rank, ' ' ORDER BY rank) AS sources FROM f GROUP BY qid),
+    t AS (SELECT DISTINCT qid FROM h JOIN {_DOCS} t USING (key) WHERE key <> qid AND regexp_replace(text, '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+', '', 'g') <> '')
+    SELECT vec_id AS qid, CASE WHEN t.qid IS NULL THEN '{NO_TEXT}' ELSE 'echo' END AS answer, coalesce(sources, '') AS sources
+    FROM (SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0) q LEFT JOIN s ON s.qid = q.vec_id LEFT JOIN t ON t.qid = q.vec_id""",
 )
 def retrieve_responses(spark, d):
     """Whole answers with a generator that always says the same, read back from their JSON."""
