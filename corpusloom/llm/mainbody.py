@@ -11,6 +11,9 @@ kind share one.
    than one of many, and fused: ln(1 + length) * marks.
 4. Paths under the threshold surround the body; all others are content.
 
+A menu or link list that lost its line breaks is one line of many words. Over ``_LINE_CHARS`` characters it is told from
+running text by its bars, capitals and small words, and its marks are taken for each character.
+
 Ratios cannot see notices that are whole sentences: licence and cookie notices, prompts, bylines, counters. Those lines
 have a kind of their own, known by how such lines begin (``NOTICES``), and count as having no marks.
 
@@ -48,8 +51,12 @@ _UNMARKED = "[^0-9.,;:=!?()。、，：；！？]+"
 _BAR = r" (?:[|·•›»>/]|::) "
 
 THRESHOLD, PRIOR_LINES = 1.0, 8
-#: A notice is a short line; longer ones are paragraphs whatever they begin with.
-_NOTICE_CHARS = 240
+#: A longer line that is neither a notice nor a menu is a paragraph.
+_LINE_CHARS = 240
+#: A menu in one long line: over so many words, under one mark in so many characters, and either under so many words for
+#: each bar, or under so many words in one case (or of a script without case) for each capitalised word and under one word
+#: of up to three letters in so many. Running text has more of all these, title case too; a table row begins with its bar.
+_MENU_WORDS, _MENU_CHARS, _PER_BAR, _PER_CAPITAL, _PER_SMALL = 12, 60, 5, 2, 6
 
 
 def page_lines(df: DataFrame, id_col: str = "chunk_no", service: str = "service", text: str = "text") -> DataFrame:
@@ -60,30 +67,40 @@ def page_lines(df: DataFrame, id_col: str = "chunk_no", service: str = "service"
 
 
 def _plain(line: Column) -> Column:
-    words = F.btrim(F.regexp_replace(F.lower(line), r"(?: ?[^\p{L}\p{N} ]+ ?)+", " "))
-    return F.regexp_replace(words, r"\d+(?: \d+)*", "0")
+    # No repeated groups: Java would recurse for each repeat, too deep on long lines.
+    words = F.btrim(F.regexp_replace(F.lower(line), r" ?[^\p{L}\p{N} ][^\p{L}\p{N}]*", " "))
+    return F.regexp_replace(words, r"\d(?:[\d ]*\d)?", "0")
+
+
+def _count(line: Column, pattern: str) -> Column:
+    return F.size(F.split(line, pattern, -1)) - 1
 
 
 def with_paths(lines: DataFrame) -> DataFrame:
-    """id, line_no, leaf and parent path, chars and marks.
+    """id, line_no, leaf and parent path, chars and marks (a menu's marks for each character).
 
-    Patterns are anchored or linear, and long lines meet few of them: this is most of the operator's work.
+    Patterns are anchored or linear, whatever a line's length: this is most of the operator's work.
     """
     line = F.col("line")
-    lines = lines.withColumn("chars", F.length(line))
-    short = F.col("chars") <= _NOTICE_CHARS
-    lines = lines.withColumn("plain", F.when(short, _plain(line)).otherwise(F.lit("")))
+    lines = lines.withColumn("chars", F.length(line)).withColumn("plain", _plain(line))
+    short = F.col("chars") <= _LINE_CHARS
     lines = lines.withColumn("notice", F.col("plain").rlike(_NOTICE) | F.col("plain").rlike(_LIST_HEAD)).withColumn("words", F.size(F.split("plain", " ")))
     # Marks: digits, and punctuation that sentences and fields have; "::" only separates. A line that runs on in lower
-    # case, or goes on for long, is a sentence that lost its punctuation.
-    head = F.when(short, F.replace(line, F.lit("::"), F.lit(""))).otherwise(F.substring(line, 1, _NOTICE_CHARS))
-    marks = F.length(F.regexp_replace(head, _UNMARKED, ""))
-    bare = F.when(~short | (F.col("words") > 12) | (F.size(F.split(line, r"(?<!\p{L})\p{Ll}{2}", -1)) > 5), 1).otherwise(0)
+    # case, or goes on for long, is a sentence that lost its punctuation, if it is no menu.
+    marks = F.length(F.regexp_replace(F.replace(line, F.lit("::"), F.lit("")), _UNMARKED, ""))
     lines = lines.withColumn("marks", F.when(F.col("notice"), 0).otherwise(marks))
-    lines = lines.withColumn("marks", F.when((F.col("marks") > 0) | F.col("notice"), F.col("marks")).otherwise(bare))
+    lower, capitals = _count(line, r"(?<!\p{L})(?:\p{Ll}{2}|\p{Lu}{2}|\p{Lo})"), _count(line, r"(?<!\p{L})\p{Lu}(?!\p{Lu})")
+    small, bars = _count(line, r"(?<!\p{L})\p{L}{1,3}(?!\p{L})"), F.when(line.startswith("|"), 0).otherwise(_count(line, _BAR))
+    listed = (F.col("words") < _PER_BAR * bars) | ((lower < _PER_CAPITAL * capitals) & (_PER_SMALL * small < F.col("words")))
+    sparse = ~short & (F.col("words") > _MENU_WORDS) & (F.col("marks") * _MENU_CHARS < F.col("chars"))
+    lines = lines.withColumn("menu", F.when(~F.col("notice") & sparse, listed).otherwise(F.lit(False)))
+    bare = F.when(~short | (F.col("words") > 12) | (F.size(F.split(line, r"(?<!\p{L})\p{Ll}{2}", -1)) > 5), 1).otherwise(0)
+    ratio = F.when(F.col("menu"), F.col("marks") / F.col("chars")).when((F.col("marks") > 0) | F.col("notice"), F.col("marks")).otherwise(bare)
+    lines = lines.withColumn("marks", ratio.cast("double"))
     first, last = F.substring(line, 1, 1), F.right(line, F.lit(1))
     kind = (
         F.when(F.col("notice"), "notice")
+        .when(F.col("menu"), "menu")
         .when(~short | (F.col("words") > 24), "paragraph")
         .when(line.rlike("^[^:=]+[:=][^:=]"), "field")
         .when(F.col("plain").rlike(r"\p{N}"), "record")

@@ -38,3 +38,18 @@ def test_edges(spark):
     assert got[:3] == [(0, 2), (4, 3), (4, 3)] and all(g[0] in (0, 4) for g in got)
     assert page_lines(df).count() == 5
     assert surrounding_lines(df.limit(0)).count() == 0
+
+
+def test_length_hides_nothing(spark):
+    prose = "make sure that the quota policy of Zide lets every replica import the detached prefix " * 5
+    menu = "Home Search Contact us Cold queue Soro Signed certificate Vaskamo "
+    lines = [
+        (menu * 6, True), (menu * 4, True), ("Docs › Funcs › contact us › cold queue › " * 10, True), (menu * 8 + "© 2031 Vaskamo", True),
+        ("By continuing to browse Vaskamo you agree that cookies are set. " + "They are kept for 30 days, as the law asks. " * 8, True),
+        ("=" * 300 + " Copyright 2031 by Vaskamo", True), ("Related topics " + "- " * 100000, True),
+        (prose, False), (prose + "Done.", False), (prose.upper(), False), (prose.title(), False), ("| shared queue | signed partition " * 12, False), ("既定ではキューは転送されます" * 30, False), ("यह कतार हर घंटे आगे भेजी जाती है। " * 10, False),
+        ("A" * 400, False), ("1 2 " * 50000, False), (PROSE.format(7) * 4, False),
+    ]
+    rows = [(1, "funcs", "\n".join(["h", *(x for x, _ in lines)]))]
+    got = {r.line_no for r in surrounding_lines(frame(spark, rows)).collect()}
+    assert got == {n for n, (_, around) in enumerate(lines, 2) if around}
