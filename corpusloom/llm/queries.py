@@ -129,10 +129,18 @@ def p6_pieces(spark, d):
     "SELECT chunk_no, length(text)::BIGINT AS covered, TRUE AS within_limit FROM chunks WHERE text IS NOT NULL",
 )
 def p6_kept(spark, d):
-    """How many characters of each text its pieces cover, the prefix counted once: as many as it has."""
-    p = split_texts(table(spark, d, "chunks"))
-    g = p.groupBy(F.col("id").alias("chunk_no")).agg(F.max("body_end").cast("bigint").alias("covered"), F.bool_and(F.length("piece") <= LIMIT).alias("within_limit"))
-    return g
+    """How many characters of each text its pieces cover, the prefix and overlaps counted once: as many as it has.
+
+    Null where the pieces put together are not the text.
+    """
+    chunks = table(spark, d, "chunks")
+    p = split_texts(chunks).withColumnRenamed("id", "chunk_no")
+    g = p.groupBy("chunk_no").agg(F.array_sort(F.collect_list(F.struct("piece_no", "piece", "body_start", "body_end"))).alias("p"), F.bool_and(F.length("piece") <= LIMIT).alias("within_limit"))
+    # Of each piece after the first, what lies beyond the end of the one before it.
+    new = F.expr("transform(p, (x, i) -> CASE WHEN i = 0 THEN x.piece ELSE right(x.piece, cast(x.body_end - greatest(x.body_start, p[i - 1].body_end) AS int)) END)")
+    whole = g.select("chunk_no", F.array_join(new, "").alias("whole"), "within_limit").select("chunk_no", F.length("whole").cast("bigint").alias("n"), F.md5("whole").alias("got"), "within_limit")
+    texts = chunks.filter("text IS NOT NULL").select("chunk_no", F.md5("text").alias("want"))
+    return texts.join(whole, "chunk_no", "left").select("chunk_no", F.when(F.col("got") == F.col("want"), F.col("n")).alias("covered"), "within_limit")
 
 
 # ---------------------------------------------------------------- problem 7: packing into containers

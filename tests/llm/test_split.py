@@ -58,3 +58,19 @@ def test_prefix():
     assert prefix_length("G\n \nx", "H", 2048) == 4
     assert prefix_length("no heading here", "H", 2048) == 0
     assert prefix_length("h" * 1100 + "\n\nx", "h" * 1100, 2048) == 0
+
+
+def test_kept_sees_lost_and_wrong_pieces(spark, monkeypatch):
+    from corpusloom.llm import queries
+
+    text = "head\n\n" + "".join(f"Sentence {i} of it. " for i in range(600))
+    df = spark.createDataFrame([(1, "head", text, "x", 3), (2, None, "short", "x", 3), (3, None, None, "x", 3), (4, None, "", "x", 3)], DDL)
+    monkeypatch.setattr(queries, "table", lambda *_: df)
+
+    def covered(change):
+        monkeypatch.setattr(queries, "split_texts", lambda c: change(split_texts(c)))
+        return {r.chunk_no: r.covered for r in queries.p6_kept(spark, "").collect()}
+
+    assert covered(lambda p: p) == {1: len(text), 2: 5, 4: 0}
+    assert covered(lambda p: p.filter("piece_no <> 3"))[1] != len(text)
+    assert covered(lambda p: p.selectExpr("id", "piece_no", "CASE WHEN piece_no = 2 THEN reverse(piece) ELSE piece END AS piece", "body_start", "body_end"))[1] != len(text)
