@@ -12,7 +12,7 @@ from .copies import collapsed, copies
 from .leaks import leaks
 from .lines import repeated_lines, without_lines
 from .lookalikes import consistent_texts, lookalike_classes, lookalike_pairs
-from .mainbody import surrounding_lines
+from .mainbody import page_bodies, surrounding_lines
 from .pack import CAPACITY, pack, token_count
 from .split import LIMIT, split_long, split_texts
 from .vectors import current_vectors, similar_pairs, similar_vectors
@@ -239,10 +239,15 @@ def p9_texts(spark, d):
 
 @query("p4_found")
 def p4_found(spark, d):
-    return surrounding_lines(table(spark, d, "chunks")).select(F.col("id").alias("chunk_no"), "line_no")
+    return surrounding_lines(table(spark, d, "chunks"), table(spark, d, "fetch_results")).select(F.col("id").alias("chunk_no"), "line_no")
 
 
 @query("p4_main")
 def p4_main(spark, d):
     chunks = table(spark, d, "chunks")
-    return without_lines(chunks.select("chunk_no", "text"), surrounding_lines(chunks))
+    return without_lines(chunks.select("chunk_no", "text"), surrounding_lines(chunks, table(spark, d, "fetch_results")))
+
+
+@query("p4_pages")
+def p4_pages(spark, d):
+    return page_bodies(table(spark, d, "fetch_results")).withColumnRenamed("id", "fetch_no")
