@@ -1,17 +1,22 @@
 """One consistent form for texts that look the same but are spelled with different characters.
 
-Pairs of strings drawn alike (full-width forms, ligatures, split-up accents, invisible characters, special spaces,
-look-alike letters) are merged into transitive classes by union-find; each class is represented by its member that is
-most frequent in the corpus, and an automaton over all members rewrites a text greedily, longest match first.
-
-Letter case, accents, digits, raised digits and punctuation marks are visible and stay apart: compatibility
-decompositions are followed only where they keep the drawing (wide, narrow, no-break, font, ligature), never for
-superscripts, fractions, circles or squares.
+Strings drawn alike (full-width forms, ligatures, split-up accents, invisible characters, special spaces, look-alike letters)
+are merged into transitive classes by union-find, first over code points, then over strings: a letter with its accents in
+every spelling of the letter. Each class is represented by its member that is most frequent in the corpus, and an automaton
+over all members rewrites a text greedily, longest match first.
+
+Letter case, accents, digits, raised digits and punctuation marks are visible and stay apart:
+  * look-alike letters are the letters and letter numerals without parts that Unicode's table of confusable characters
+    (Spark's own ICU library) gives one skeleton, among capitals, among small letters and among letters without case, each
+    for itself; letters drawn with a mark through them, digits, punctuation and letters like two others take no part;
+  * compatibility decompositions are followed only where they keep the drawing (wide, narrow, no-break, font, ligatures
+    and numerals made of letters), never for superscripts, fractions, circles or squares.
 
 Defined results
   * null and blank texts are left out of pairs and classes and are unchanged by rewriting;
   * exact copies share a class; pairs are given between documents whose texts differ, copies included; rows with a null
     id are in classes but not in pairs;
+  * a ligature or numeral of several letters becomes those letters, each as its class is represented;
   * empty tables give empty results; other columns are ignored.
 """
 
@@ -20,41 +25,57 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..session import materialise
 
-#: Letters of other scripts and the Latin letters they are drawn like.
-LOOKALIKES = {
-    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X",
-    "Ѕ": "S", "І": "I", "Ј": "J", "Ү": "Y", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W",
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
-    "ο": "o", "ϲ": "c", "ϳ": "j",
-    "օ": "o", "Օ": "O", "ո": "n", "ս": "u", "հ": "h", "Տ": "S", "Լ": "L",
-    "ɡ": "g", "‐": "-", "‑": "-",
-}
 #: Decomposition tags that keep what is drawn.
 _SAME_DRAWING = {"<wide>", "<narrow>", "<noBreak>", "<font>"}
-_INVISIBLE = "­͏؜ᅟᅠ឴឵᠋᠌᠍᠎​‌‍‎‏⁠⁡⁢⁣⁤﻿"
+_INVISIBLE = "­͏؜ᅟᅠ឴឵᠋᠌᠍᠎​‌‍‎‏⁠⁡⁢⁣⁤﻿" + "\u3164\uffa0"
+_HIDDEN = frozenset({*_INVISIBLE, *map(chr, range(0xFE00, 0xFE10))})  # and the variation selectors
+_HIDDEN_RUN = re.compile(f"[{''.join(sorted(_HIDDEN))}]+")
+_CASE = {"Lu": "upper", "Lt": "upper", "Ll": "lower", "Lo": "none", "Nl": "none"}
+
+
+def prepared(s: str) -> str:
+    """Without what is invisible, in composed form. What is hidden may stand between a letter and its accent."""
+    return unicodedata.normalize("NFC", _HIDDEN_RUN.sub("", unicodedata.normalize("NFC", s)))
+
+
+def _case(c: str) -> str | None:
+    kind = _CASE.get(unicodedata.category(c))
+    if kind == "none" and c != c.lower():
+        return "upper"
+    return "lower" if kind == "none" and c != c.upper() else kind
+
+
+def lookalike_letters(spark: SparkSession) -> list[list[str]]:
+    """Groups of single letters with one skeleton and case, from the confusables of the ICU library that Spark brings."""
+    letters = [c for o in range(0x41, sys.maxunicode + 1) if _case(c := chr(o)) and unicodedata.is_normalized("NFD", c)]
+    checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    groups: dict[tuple[str, str], list[str]] = {}
+    for s in range(0, len(letters), 20_000):
+        part = letters[s : s + 20_000]
+        for c, skeleton in zip(part, checker.getSkeleton(0, "\n".join(part)).split("\n"), strict=True):
+            if skeleton and not any(map(unicodedata.combining, skeleton)):
+                groups.setdefault((_case(c), skeleton), []).append(c)
+    return [g for g in groups.values() if len(g) > 1]
 
 
 def drawn_pairs() -> Iterator[tuple[str, str]]:
-    """(string, string drawn like it) over all code points, by rule, plus the letters listed above."""
-    yield from LOOKALIKES.items()
-    for c in _INVISIBLE:
-        yield c, ""
-    for o in range(0xFE00, 0xFE10):  # variation selectors
-        yield chr(o), ""
+    """(code point, string drawn like it) over all code points, by rule."""
+    yield "\u2010", "-"
     for o in range(0x80, sys.maxunicode + 1):
         c = chr(o)
+        if c in _HIDDEN:
+            continue
         kind = unicodedata.category(c)
         if kind == "Zs":
             yield c, " "
@@ -64,8 +85,8 @@ def drawn_pairs() -> Iterator[tuple[str, str]]:
             continue
         tag, *rest = d.split() if d[0] == "<" else ["", *d.split()]
         as_text = "".join(chr(int(x, 16)) for x in rest)
-        ligature = tag == "<compat>" and kind[0] == "L" and len(as_text) > 1 and as_text.isalpha()
-        if tag in _SAME_DRAWING or tag == "" or ligature:
+        lettered = tag == "<compat>" and (kind == "Nl" or kind[0] == "L" and len(as_text) > 1) and as_text.isalpha()
+        if tag in _SAME_DRAWING or tag == "" or lettered:
             yield c, as_text
 
 
@@ -84,7 +105,7 @@ class Classes:
     def union(self, a: str, b: str) -> None:
         a, b = self.find(a), self.find(b)
         if a != b:
-            self.parent[a] = b
+            self.parent[max(a, b)] = min(a, b)
 
     def members(self) -> dict[str, list[str]]:
         out: dict[str, list[str]] = {}
@@ -93,59 +114,77 @@ class Classes:
         return out
 
 
-def _spelled(pairs: dict[str, str], s: str) -> str:
-    """``s`` with each character replaced, again and again, by what it is drawn like, and marks in one order."""
-    for _ in range(8):
-        new = "".join(pairs.get(c, c) for c in s)
-        if new == s:
-            break
-        s = new
-    return unicodedata.normalize("NFD", s)
+class Drawings:
+    """What every code point is drawn as: a string of roots of classes of code points.
 
+    Classes of code points come first, from every pair of single ones; then each root is spelled out where a member of
+    its class is drawn as several. Spelling ends, as decompositions do not lead back.
+    """
 
-def rewrite_table(counts: dict[str, int]) -> dict[str, str]:
-    """member -> representative for every member that changes.
-
-    A class is the set of strings with one spelling; also, for each accented letter, every way to write its base and
-    its marks with look-alikes. The representative is the most frequent member (a string counts as its rarest
-    character); the shortest, then smallest, on ties. Members with characters that the corpus lacks are left out. The
-    number of members is bounded by the code points of Unicode.
+    def __init__(self, letters: Iterable[list[str]]) -> None:
+        self.points, self.parts, self.known = Classes(), {}, {}
+        self.pairs = list(drawn_pairs())
+        for group in letters:
+            for c in group[1:]:
+                self.points.union(group[0], c)
+        longer = []
+        for a, b in self.pairs:
+            b = unicodedata.normalize("NFD", b)
+            if len(b) == 1:
+                self.points.union(a, b)
+            else:
+                longer.append((a, b))
+        for a, b in longer:
+            self.parts[self.points.find(a)] = b
+
+    def of(self, s: str) -> str:
+        """The drawing of ``s``; equal for strings that look the same."""
+        return unicodedata.normalize("NFD", "".join(map(self._point, unicodedata.normalize("NFD", s))))
+
+    def _point(self, c: str) -> str:
+        if c not in self.known:
+            root = self.points.find(c)
+            self.known[c] = root if root not in self.parts else self.of(self.parts[root])
+        return self.known[c]
+
+
+def _accented(drawing: str) -> bool:
+    return len(drawing) > 1 and not unicodedata.combining(drawing[0]) and all(map(unicodedata.combining, drawing[1:]))
+
+
+def rewrite_table(counts: dict[str, int], letters: Iterable[list[str]]) -> tuple[dict[str, str], dict[str, str]]:
+    """(code point of several letters -> those letters, other member -> representative), for whatever changes.
+
+    The representative is the most frequent member (a string counts as its rarest character); the shortest, then
+    smallest, on ties. The number of members is bounded by the code points of Unicode times the letters of a class.
     """
-    present = {d for c in counts for x in (c, unicodedata.normalize("NFD", c), unicodedata.normalize("NFC", c)) for d in x}
-    pairs: dict[str, str] = {}
-    for a, b in drawn_pairs():
-        pairs.setdefault(a, b)
-    classes = Classes()
-    alike: dict[str, list[str]] = {}
-    for a in pairs:
-        if len(a) == 1 and len(s := _spelled(pairs, a)) == 1:
-            alike.setdefault(s, []).append(a)
-    for a in pairs:
-        s = _spelled(pairs, a)
-        classes.union(a, s)
-        if len(s) > 1 and unicodedata.combining(s[1]):
-            for base in alike.get(s[0], []):
-                if not unicodedata.combining(base):
-                    classes.union(base + s[1:], s)
+    d = Drawings(letters)
+    alike = d.points.members()
+    classes, several = Classes(), {}
+    for c in sorted({*d.points.parent, *(a for a, _ in d.pairs)}):
+        drawing = d.of(c)
+        if len(drawing) > 1 and not _accented(drawing):
+            several[c] = unicodedata.normalize("NFC", drawing)
+            continue
+        classes.union(unicodedata.normalize("NFC", drawing), c)
+        if _accented(drawing):
+            for base in alike.get(d.points.find(drawing[0]), drawing[:1]):
+                classes.union(c, unicodedata.normalize("NFC", base + drawing[1:]))
     table = {}
     for members in classes.members().values():
-        if len(members) < 2:
-            continue
-        if "" in members:
-            best = ""
-        else:
+        if len(members) > 1:
             best = min(members, key=lambda m: (-min(counts.get(c, 0) for c in m), len(m), m))
-        table |= {m: best for m in members if m != best and present.issuperset(m)}
-    return table
+            table |= {m: best for m in members if m != best}
+    return several, table
 
 
 def character_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """ch, n: how often each code point occurs in all texts, counted per batch and summed by Spark."""
+    """point, n: how often each code point occurs in all prepared texts, counted per batch and summed by Spark."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(0, dtype=np.int64)
         for pdf in batches:
-            points = np.frombuffer("".join(pdf["text"]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            points = np.frombuffer("".join(map(prepared, pdf["text"])).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
             got = np.bincount(points)
             if len(got) > len(total):
                 got, total = total, got.astype(np.int64)
@@ -160,18 +199,20 @@ def character_counts(df: DataFrame, text: str = "text") -> DataFrame:
 class Rewriter:
     """Greedy left-to-right rewriting with an Aho-Corasick automaton over all members of a table."""
 
-    def __init__(self, table: dict[str, str]) -> None:
+    def __init__(self, several: dict[str, str], table: dict[str, str]) -> None:
+        self.several = str.maketrans(several)
         self.auto = ahocorasick.Automaton()
+        self.ascii_moves = any(k.isascii() for k in table)
         for k, v in table.items():
             self.auto.add_word(k, (len(k), v))
         # A longer string that must not be broken up by a shorter match is kept as it is.
         for v in set(table.values()):
-            if len(v) > 1 and v not in table:
+            if len(v) > 1:
                 self.auto.add_word(v, (len(v), v))
         self.auto.make_automaton()
-        # Without any of these characters a text can only be in its final form.
-        touched = {k if len(k) == 1 else c for k in table for c in (k if len(k) == 1 else k[1:])} | {c for c in _HIDDEN}
-        self.touched = re.compile(f"[{''.join(map(re.escape, sorted(touched)))}]")
+        # Without any of these characters a prepared text is in its final form.
+        touched = {*several, *(c for k in table for c in (k if len(k) == 1 else k[1:]))}
+        self.touched = re.compile(f"[{''.join(map(re.escape, sorted(touched)))}]" if touched else r"(?!)")
 
     def once(self, s: str) -> str:
         if not len(self.auto):
@@ -185,26 +226,19 @@ class Rewriter:
         return "".join(out)
 
     def __call__(self, s: str) -> str:
-        s = unicodedata.normalize("NFC", s)
+        if s.isascii() and not self.ascii_moves:
+            return s
+        s = prepared(s)
         if not self.touched.search(s):
             return s
-        # What is invisible may stand between a letter and its accent, and marks come in any order: those go first.
-        s = unicodedata.normalize("NFC", _HIDDEN_RUN.sub("", s))
-        for _ in range(4):
-            if (new := unicodedata.normalize("NFC", self.once(s))) == s:
-                break
-            s = new
-        return s
-
-
-_HIDDEN = {*_INVISIBLE, *map(chr, range(0xFE00, 0xFE10))}
-_HIDDEN_RUN = re.compile(f"[{''.join(sorted(_HIDDEN))}]+")
+        # One pass ends it: a letter and its accents are one member or stay apart, whichever way they are spelled.
+        return unicodedata.normalize("NFC", self.once(unicodedata.normalize("NFC", s.translate(self.several))))
 
 
-def corpus_table(df: DataFrame, text: str = "text") -> dict[str, str]:
-    """The rewrite table for a corpus. At most one row per code point comes to the driver."""
+def corpus_table(df: DataFrame, text: str = "text") -> tuple[dict[str, str], dict[str, str]]:
+    """The rewrite tables for a corpus. At most one row per code point comes to the driver."""
     counts = {chr(p): n for p, n in character_counts(df, text).collect() if not 0xD800 <= p < 0xE000}
-    return rewrite_table(counts)
+    return rewrite_table(counts, lookalike_letters(df.sparkSession))
 
 
 def consistent_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -212,7 +246,7 @@ def consistent_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text")
     table = df.sparkSession.sparkContext.broadcast(corpus_table(df, text))
 
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f = Rewriter(table.value)
+        f = Rewriter(*table.value)
         for pdf in batches:
             yield pdf.assign(form=[None if t is None else f(t) for t in pdf["text"]])
 
