@@ -212,11 +212,12 @@ class Rewriter:
         self.auto.make_automaton()
         # Without any of these characters a prepared text is in its final form.
         touched = {*several, *(c for k in table for c in (k if len(k) == 1 else k[1:]))}
-        self.touched = re.compile(f"[{''.join(map(re.escape, sorted(touched)))}]" if touched else r"(?!)")
+        # Beyond 0xFFFF all count, as a class of single ones there would be searched one by one.
+        some = f"[{''.join(re.escape(c) for c in sorted(touched) if c < '\U00010000')}\U00010000-\U0010ffff]"
+        # A member is a run of them, but for the letter before its accents.
+        self.touched, self.runs = re.compile(some), re.compile(f"(?s).?{some}+")
 
-    def once(self, s: str) -> str:
-        if not len(self.auto):
-            return s
+    def rewritten(self, s: str) -> str:
         out, at = [], 0
         for end, (n, new) in self.auto.iter_long(s):
             out.append(s[at : end - n + 1])
@@ -232,7 +233,8 @@ class Rewriter:
         if not self.touched.search(s):
             return s
         # One pass ends it: a letter and its accents are one member or stay apart, whichever way they are spelled.
-        return unicodedata.normalize("NFC", self.once(unicodedata.normalize("NFC", s.translate(self.several))))
+        s = unicodedata.normalize("NFC", s.translate(self.several) if self.several else s)
+        return unicodedata.normalize("NFC", self.runs.sub(lambda m: self.rewritten(m[0]), s))
 
 
 def corpus_table(df: DataFrame, text: str = "text") -> tuple[dict[str, str], dict[str, str]]:
