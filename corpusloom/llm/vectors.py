@@ -1,19 +1,28 @@
 """The k most similar vectors for every vector: an inverted file with product-quantised residuals.
 
-1. The current vector of each key is taken from the write log and scaled to length 1 (cosine similarity).
-2. Coarse centroids and product-quantisation codebooks are fitted by k-means on a sample of at most ``sample`` vectors.
-   The number of centroids follows the number of vectors, so that a cell keeps about ``cell_rows`` of them.
-3. Every vector is indexed: it goes to the cell of its nearest centroid, and its residual is coded to ``m`` bytes.
-4. Every vector is also a query of its ``probes`` nearest cells. Cells are cut into blocks of bounded size by a hash of
-   the key, so a cell that holds a third of all vectors becomes many tasks; queries meet every block of their cells.
-5. In a block, asymmetric distance tables rank its codes for each query; the best ``keep`` are scored again exactly, and
-   so is everything tied with the last of those by code.
-6. The best k of a query over its blocks are kept, ties by key.
+1. The current vector of each key is taken from the write log and scaled to length 1 (cosine similarity). Equal vectors
+   become one, known by a 64-bit hash that is checked for collisions.
+2. The coarse centroids form a tree. Its first level is fitted by k-means on a sample of about ``sample`` vectors; as long as a
+   leaf holds more than twice ``cell_rows`` vectors, it is fitted again by k-means in a task of its own, on a sample of
+   its own vectors. So leaves keep their size whatever the number of vectors and however dense a region is.
+3. Every vector is indexed: it goes to its nearest leaf, and its residual there is coded to ``m`` bytes.
+4. Every vector is also a query of its ``probes`` nearest leaves. It is shipped once to be stored and searched in its own
+   leaf, and once for each other leaf.
+5. In a leaf, asymmetric distance tables rank the codes for each query; the best ``keep`` are scored again exactly, and
+   so is everything tied with the last of those by code. Leaves send k ids and similarities for each query.
+6. The best k of a query over its leaves are kept.
+
+A leaf that k-means cannot divide (it gave nine tenths to one side) is cut into blocks by hash, each of which its queries
+visit; queries that crowd one leaf are cut into parts, each of which gets the stored vectors.
+
+Sizes: the driver and the tasks hold the tree, 256 bytes for each ``cell_rows`` vectors and ``MAX_CENTRES`` at most (64 MB,
+some 270 million vectors; beyond, leaves grow and searching with them), and about ``sample`` vectors.
 
 Defined results
   * a key's row with the highest order counts, and only if it has ``dim`` numbers, none null or NaN or infinite, not all
     zero; null keys are left out; the length of a vector does not matter;
-  * equal vectors under different keys are each other's neighbours; with k or fewer others, all come out;
+  * equal vectors under different keys are each other's neighbours, by key; with k or fewer others, all come out; which of
+    several different, equally similar vectors takes the last place is decided by a hash of the vectors;
   * empty tables give empty results; other columns are ignored.
 """
 
@@ -29,18 +38,20 @@ from pyspark.sql import functions as F
 from ..session import materialise
 
 DIM, K = 64, 5
-#: Bound of the sample that centroids and codebooks are fitted on, of rows in a cell on average and in a block at most.
-SAMPLE_ROWS, CELL_ROWS, BLOCK_ROWS = 40_000, 128, 4_000
-#: Bound of the broadcast centroids: 8,192 x 64 float32 are 2 MB.
-MAX_CELLS = 8_192
-PROBES, KEEP, SUBSPACES = 6, 96, 16
+#: Rows of the sample that the first level and the codebooks are fitted on, and of a leaf on average.
+SAMPLE_ROWS, CELL_ROWS = 40_000, 1_024
+MAX_CENTRES = 1 << 18
+#: Children of one node at most, and vectors that each of them is fitted on.
+_CHILDREN, _FIT_ROWS = 256, 64
+PROBES, KEEP, SUBSPACES = 4, 96, 16
+#: Nodes that a query goes on from at each level of the tree, at least.
+_BEAM = 8
 
 
 def current_vectors(df: DataFrame, dim: int = DIM, key: str = "key", order: str = "put_no", vector: str = "data.float32") -> DataFrame:
     """key, v (float32 bytes of the unit vector). The log is reduced per key map-side."""
-    v = F.transform(F.col(vector), lambda x: x.cast("double"))
-    log = df.select(F.col(key).alias("key"), F.coalesce(F.col(order).cast("bigint"), F.lit(-(2**62))).alias("ord"), v.alias("v")).filter("key IS NOT NULL")
-    last = log.groupBy("key").agg(F.max_by("v", "ord").alias("v"))
+    log = df.select(F.col(key).alias("key"), F.coalesce(F.col(order).cast("bigint"), F.lit(-(2**62))).alias("ord"), F.col(vector).alias("v")).filter("key IS NOT NULL")
+    last = log.groupBy("key").agg(F.max_by("v", "ord").alias("v")).select("key", F.transform("v", lambda x: x.cast("double")).alias("v"))
     fit = (F.size("v") == dim) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     good = last.filter(F.coalesce(fit, F.lit(False)))
 
@@ -63,7 +74,7 @@ def k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), size=k, replace=len(x) < k)].copy()
     for _ in range(rounds):
-        near = nearest(x, c, 1)[:, 0]
+        near = nearest(x, c, 1)[0][:, 0]
         n = np.bincount(near, minlength=k)
         order = np.argsort(near, kind="stable")
         starts = np.cumsum(n) - n
@@ -72,33 +83,58 @@ def k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     return c
 
 
-def nearest(x: np.ndarray, c: np.ndarray, p: int) -> np.ndarray:
-    """Indexes of the p nearest centres of each row, nearest first."""
-    out = np.empty((len(x), p), dtype=np.int32)
+def nearest(x: np.ndarray, c: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the p nearest centres of each row, nearest first, and how near: half the square of x's length less half that of the distance."""
+    out, value = np.empty((len(x), p), dtype=np.int32), np.empty((len(x), p), dtype=np.float32)
     half = (c * c).sum(axis=1) / 2
     step = max(1, 4_000_000 // max(1, len(c)))
     for s in range(0, len(x), step):
         score = x[s : s + step] @ c.T - half
         if p == 1:
             out[s : s + step, 0] = score.argmax(axis=1)
+            value[s : s + step, 0] = score.max(axis=1)
         else:
             top = np.argpartition(-score, p - 1, axis=1)[:, :p]
-            out[s : s + step] = np.take_along_axis(top, np.argsort(-np.take_along_axis(score, top, 1), axis=1, kind="stable"), 1)
-    return out
-
-
-class Index:
-    """Coarse centroids and, per subspace, the codewords of residuals."""
-
-    def __init__(self, x: np.ndarray, cells: int, m: int, seed: int = 7) -> None:
-        self.m = m
-        self.centres = k_means(x, cells, 8, seed)
-        residual = x - self.centres[nearest(x, self.centres, 1)[:, 0]]
-        words = min(256, len(x))
-        self.words = np.stack([k_means(np.ascontiguousarray(part), words, 6, seed + 1 + j) for j, part in enumerate(np.split(residual, m, axis=1))])
-
-    def encode(self, residual: np.ndarray) -> np.ndarray:
-        return np.stack([nearest(np.ascontiguousarray(part), self.words[j], 1)[:, 0] for j, part in enumerate(np.split(residual, self.m, axis=1))], axis=1).astype(np.uint8)
+            top = np.take_along_axis(top, np.argsort(-np.take_along_axis(score, top, 1), axis=1, kind="stable"), 1)
+            out[s : s + step], value[s : s + step] = top, np.take_along_axis(score, top, 1)
+    return out, value
+
+
+class Tree:
+    """Centroids as nodes; a node's children lie next to each other, and nodes without any are the leaves."""
+
+    def __init__(self, dim: int) -> None:
+        self.centres = np.zeros((1, dim), np.float32)
+        self.first, self.number = np.zeros(1, np.int32), np.zeros(1, np.int32)
+
+    def split(self, node: int, centres: np.ndarray) -> None:
+        self.first[node], self.number[node] = len(self.centres), len(centres)
+        self.centres = np.concatenate([self.centres, centres])
+        self.first, self.number = (np.concatenate([a, np.zeros(len(centres), np.int32)]) for a in (self.first, self.number))
+
+    def leaves(self, x: np.ndarray, p: int) -> np.ndarray:
+        """The p nearest leaves of each row, nearest first, found going down from the nearest nodes of each level; -1 if fewer."""
+        beam = max(_BEAM, p)
+        rows, nodes, score = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x), np.float32)
+        while (inner := self.number[nodes] > 0).any():
+            done = ~inner
+            parts = [(rows[done], nodes[done], score[done])]
+            order = np.flatnonzero(inner)
+            order = order[np.argsort(nodes[order], kind="stable")]
+            for part in np.split(order, np.flatnonzero(np.diff(nodes[order])) + 1):
+                node = nodes[part[0]]
+                children = self.centres[self.first[node] : self.first[node] + self.number[node]]
+                near, value = nearest(x[rows[part]], children, min(beam, len(children)))
+                parts.append((np.repeat(rows[part], near.shape[1]), (self.first[node] + near).ravel(), value.ravel()))
+            rows, nodes, score = (np.concatenate(c) for c in zip(*parts))
+            order = np.lexsort((-score, rows))
+            rows, nodes, score = rows[order], nodes[order], score[order]
+            rank = _rank(rows)
+            rows, nodes, score = rows[rank < beam], nodes[rank < beam], score[rank < beam]
+        rank = _rank(rows)
+        out = np.full((len(x), p), -1, np.int32)
+        out[rows[rank < p], rank[rank < p]] = nodes[rank < p]
+        return out
 
 
 def _ranked(q: np.ndarray, centre: np.ndarray, words: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -111,72 +147,159 @@ def _ranked(q: np.ndarray, centre: np.ndarray, words: np.ndarray, codes: np.ndar
     return score
 
 
-def _search_schema() -> str:
-    return "vid binary, near binary, similarity double"
+def _rank(groups: np.ndarray) -> np.ndarray:
+    """Place of each element within its run of equal ones."""
+    starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])[: len(groups)]
+    return np.arange(len(groups)) - np.repeat(starts, np.diff(np.r_[starts, len(groups)]))
+
+
+def _slices(pdf: pd.DataFrame, dim: int, rows: int = 2_000) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    for s in range(0, len(pdf), rows):
+        part = pdf.iloc[s : s + rows]
+        yield part, _matrix(part["v"], dim)
+
+
+def _picked(share: np.ndarray | float, ids: pd.Series) -> np.ndarray:
+    """A share of the rows, by the hash that their ids are: the same rows in every run."""
+    return (ids.to_numpy().astype(np.uint64) >> np.uint64(32)) < np.asarray(share) * 2.0**32
+
 
+def _grown(uniq: DataFrame, tree: Tree, dim: int, probes: int, cell_rows: int, children: int, max_centres: int) -> tuple[Tree, dict[int, int], dict[int, int]]:
+    """The tree with its large leaves split, and for each leaf the vectors stored and the queries from other leaves."""
+    sc = uniq.sparkSession.sparkContext
+    whole: dict[int, int] = {}  # the rows of a leaf's parent
+    while True:
+        shared = sc.broadcast(tree)
 
-def _nearest_distinct(uniq: DataFrame, n: int, k: int, dim: int, probes: int, keep: int, m: int, sample: int, cell_rows: int, block_rows: int) -> DataFrame:
-    """vid, near, similarity: the k most similar others of each of the n different vectors of ``uniq`` (vid, v)."""
-    cells = max(1, min(MAX_CELLS, n // cell_rows))
-    share = min(1.0, 1.2 * sample / n)
-    # A hash of the vector chooses the sample, so that it is the same in every run; at most ``sample`` rows come here.
-    rows = uniq.filter(F.pmod(F.xxhash64("vid"), F.lit(1_000_000)) < share * 1_000_000).select("vid", "v").limit(sample).toPandas()
-    x = _matrix(rows.sort_values("vid")["v"], dim) if len(rows) else np.zeros((1, dim), np.float32)
-    index = Index(x, min(cells, max(1, len(x) // 4)), m)
-    shared = uniq.sparkSession.sparkContext.broadcast(index)
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                near = np.concatenate([shared.value.leaves(x, probes) for _, x in _slices(pdf, dim)]) if len(pdf) else np.zeros((0, probes), np.int32)
+                own, other = np.unique(near[:, 0], return_counts=True), np.unique(near[:, 1:][near[:, 1:] >= 0], return_counts=True)
+                yield pd.DataFrame({"leaf": np.r_[own[0], other[0]], "own": np.r_[own[1], 0 * other[1]], "other": np.r_[0 * own[1], other[1]]})
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ix = shared.value
-        p = min(probes, len(ix.centres))
+        counts = uniq.select("v").mapInPandas(count, "leaf int, own bigint, other bigint").groupBy("leaf").agg(F.sum("own").alias("own"), F.sum("other").alias("other")).collect()
+        stored, asked = {r.leaf: r.own for r in counts}, {r.leaf: r.other for r in counts}
+        large = {leaf: n for leaf, n in stored.items() if n > 2 * cell_rows and 10 * n < 9 * whole.get(leaf, 2 * n)}
+        wanted = {leaf: min(children, -(-n // cell_rows)) for leaf, n in large.items()}
+        if not large or len(tree.centres) + sum(wanted.values()) > max_centres:
+            return tree, stored, asked
+        share = np.zeros(len(tree.centres))
+        for leaf, k in wanted.items():
+            share[leaf] = min(1.0, _FIT_ROWS * k / large[leaf])
+        share = sc.broadcast(share)
+
+        def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                leaf = np.concatenate([shared.value.leaves(x, 1)[:, 0] for _, x in _slices(pdf, dim)]) if len(pdf) else np.zeros(0, np.int32)
+                take = _picked(share.value[leaf], pdf["id"])
+                yield pd.DataFrame({"leaf": leaf[take], "v": pdf["v"][take]})
+
+        def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            c = k_means(_matrix(pdf["v"].sort_values(), dim), wanted[key[0]], 8, 11)
+            return pd.DataFrame({"leaf": key[0], "centre": [r.tobytes() for r in c]})
+
+        fitted: dict[int, list[bytes]] = {}
+        for r in uniq.mapInPandas(pick, "leaf int, v binary").groupBy("leaf").applyInPandas(fit, "leaf int, centre binary").collect():
+            fitted.setdefault(r.leaf, []).append(bytes(r.centre))
+        for leaf, centres in sorted(fitted.items()):
+            tree.split(leaf, _matrix(pd.Series(sorted(centres)), dim))
+            whole |= {int(tree.first[leaf]) + i: large[leaf] for i in range(len(centres))}
+
+
+_FOUND = "id bigint, near array<bigint>, similarity array<float>"
+
+
+def _nearest_distinct(uniq: DataFrame, n: int, k: int, dim: int, probes: int, keep: int, m: int, sample: int, cell_rows: int, children: int, max_centres: int) -> DataFrame:
+    """id, near, similarity: of each of the n different vectors of ``uniq`` (id, v), the best k of each leaf searched."""
+    sc = uniq.sparkSession.sparkContext
+    share = min(1.0, sample / n)
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[_picked(share, pdf["id"])]
+
+    x = _matrix(uniq.mapInPandas(pick, "id bigint, v binary").toPandas().sort_values("id")["v"], dim)
+    if not len(x):  # few vectors, and the hash picked none
+        x = _matrix(uniq.toPandas().sort_values("id")["v"], dim)
+    tree = Tree(dim)
+    tree.split(0, k_means(x, max(1, min(children, -(-n // cell_rows), len(x) // 4)), 8, 7))
+    tree, stored, asked = _grown(uniq, tree, dim, probes, cell_rows, children, max_centres)
+    residual = x - tree.centres[np.concatenate([tree.leaves(x[s : s + 2_000], 1)[:, 0] for s in range(0, len(x), 2_000)])]
+    words = np.stack([k_means(np.ascontiguousarray(part), min(256, len(x)), 6, 8 + j) for j, part in enumerate(np.split(residual, m, axis=1))])
+    # Blocks of stored vectors and parts of queries for the leaves that need more than one.
+    blocks = {leaf: -(-c // (4 * cell_rows)) for leaf, c in stored.items() if c > 4 * cell_rows}
+    parts = {leaf: -(-c // (32 * cell_rows)) for leaf, c in asked.items() if c > 32 * cell_rows}
+    shared = sc.broadcast((tree, words, blocks, parts))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree, words, blocks, parts = shared.value
         for pdf in batches:
-            y = _matrix(pdf["v"], dim)
-            near = nearest(y, ix.centres, p)
-            codes = ix.encode(y - ix.centres[near[:, 0]])
-            yield pdf.assign(cell=near[:, 0], cells=list(near), code=[r.tobytes() for r in codes])
-
-    coded = uniq.mapInPandas(assign, "vid binary, v binary, cell int, cells array<int>, code binary")
-    coded = materialise(coded.withColumn("no", F.xxhash64("vid")), "vector-codes")
-    # A busy cell is a grid of blocks of stored vectors by parts of its queries, each of bounded size.
-    asked = coded.select(F.col("vid").alias("q"), F.col("v").alias("qv"), "no", F.explode("cells").alias("cell"))
-    grid = (
-        coded.groupBy("cell")
-        .agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
-        .join(asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (4 * block_rows)).cast("int").alias("parts")), "cell")
-    )
-    asked = asked.join(grid, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.shiftright("no", 20), F.col("parts")).cast("int").alias("part"), "q", "qv")
-    stored = coded.join(grid, "cell").select("cell", F.pmod("no", F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "vid", "v", "code")
-
-    def search(key: tuple, queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"vid": [], "near": [], "similarity": []})]
-        if len(queries) and len(items):
-            ix, cell = shared.value, int(key[0])
-            q, v = _matrix(queries["qv"], dim), _matrix(items["v"], dim)
-            codes = np.frombuffer(b"".join(items["code"]), dtype=np.uint8).reshape(len(items), ix.m)
-            names, asks = items["vid"].to_numpy(), queries["q"].to_numpy()
-            some = min(keep, len(v))
-            step = max(1, 2_000_000 // len(v))
-            for s in range(0, len(q), step):
-                part = q[s : s + step]
-                score = _ranked(part, ix.centres[cell], ix.words, codes)
-                floor = np.partition(score, len(v) - some, axis=1)[:, len(v) - some]
-                qi, vi = np.nonzero(score >= floor[:, None] - 1e-6)
-                if 4 * len(qi) > score.size:  # small block, or many equal codes
-                    exact = (part.astype(np.float64) @ v.astype(np.float64).T)[qi, vi]
-                else:
-                    exact = np.einsum("ij,ij->i", part[qi].astype(np.float64), v[vi].astype(np.float64))
-                other = asks[s + qi] != names[vi]
-                qi, vi, exact = qi[other], vi[other], exact[other]
-                order = np.lexsort((-exact, qi))
-                qi, vi, exact = qi[order], vi[order], exact[order]
-                starts = np.flatnonzero(np.r_[True, qi[1:] != qi[:-1]])[: len(qi)]
-                best = np.arange(len(qi)) - np.repeat(starts, np.diff(np.r_[starts, len(qi)])) < k
-                out.append(pd.DataFrame({"vid": asks[s + qi[best]], "near": names[vi[best]], "similarity": exact[best]}))
-        return pd.concat(out) if len(out) > 1 else out[0]
-
-    at = ["cell", "block", "part"]
-    found = asked.groupBy(*at).cogroup(stored.groupBy(*at)).applyInPandas(search, _search_schema())
-    w = Window.partitionBy("vid").orderBy(F.desc("similarity"), "near")
-    return found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r")
+            for rows, y in _slices(pdf, dim):
+                near = tree.leaves(y, probes)
+                code = np.stack([nearest(np.ascontiguousarray(r), words[j], 1)[0][:, 0] for j, r in enumerate(np.split(y - tree.centres[near[:, 0]], m, axis=1))], axis=1).astype(np.uint8)
+                ids, v = rows["id"].to_numpy(), rows["v"].to_numpy()
+                row, place = np.nonzero(near >= 0)
+                out = {"leaf": near[row, place], "block": np.zeros(len(row), np.int32), "part": np.zeros(len(row), np.int32), "id": ids[row], "v": v[row]}
+                out["code"] = [code[r].tobytes() if p == 0 else None for r, p in zip(row, place)]
+                out = pd.DataFrame(out)
+                split = out["leaf"].isin(blocks.keys() | parts.keys()).to_numpy()
+                if split.any():
+                    more = []
+                    for leaf, i, vec, c in out.loc[split, ["leaf", "id", "v", "code"]].itertuples(index=False):
+                        b, q = blocks.get(leaf, 1), parts.get(leaf, 1)
+                        home, mine = i % b, (i >> 20) % q
+                        if c is not None:
+                            more += [(leaf, home, part, i, vec, c) for part in range(q)]
+                        more += [(leaf, block, mine, i, vec, None) for block in range(b) if c is None or block != home]
+                    out = pd.concat([out[~split], pd.DataFrame(more, columns=out.columns)])
+                yield out
+
+    def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        tree, words, _, parts = shared.value
+        leaf, _, part = key
+        is_stored = pdf["code"].notna().to_numpy()
+        queries = ~is_stored | ((pdf["id"].to_numpy() >> 20) % parts.get(leaf, 1) == part)
+        names, asks = pdf["id"].to_numpy()[is_stored], pdf["id"].to_numpy()[queries]
+        x = _matrix(pdf["v"], dim)
+        v, q = x[is_stored], x[queries]
+        none = pd.DataFrame({c: pd.Series([], dtype=object) for c in ("id", "near", "similarity")})
+        if not len(v) or not len(q):
+            return none
+        codes = np.frombuffer(b"".join(pdf["code"][is_stored]), dtype=np.uint8).reshape(len(v), len(words))
+        out, some = [], min(keep, len(v))
+        step = max(1, 2_000_000 // len(v))
+        for s in range(0, len(q), step):
+            ask = q[s : s + step]
+            score = _ranked(ask, tree.centres[leaf], words, codes)
+            floor = np.partition(score, len(v) - some, axis=1)[:, len(v) - some]
+            qi, vi = np.nonzero(score >= floor[:, None] - 1e-6)
+            if 4 * len(qi) > score.size:  # small leaf, or many equal codes
+                exact = (ask.astype(np.float64) @ v.astype(np.float64).T)[qi, vi]
+            else:
+                exact = np.einsum("ij,ij->i", ask[qi].astype(np.float64), v[vi].astype(np.float64))
+            other = asks[s + qi] != names[vi]
+            qi, vi, exact = qi[other], vi[other], exact[other]
+            order = np.lexsort((names[vi], -exact, qi))
+            best = order[_rank(qi[order]) < k]
+            starts = np.flatnonzero(np.r_[True, qi[best][1:] != qi[best][:-1]])[: len(best)]
+            near, similarity = (np.split(a, starts[1:]) for a in (names[vi[best]], exact[best].astype(np.float32)))
+            if len(best):
+                out.append(pd.DataFrame({"id": asks[s + qi[best][starts]], "near": near, "similarity": similarity}))
+        return pd.concat(out) if out else none
+
+    placed = uniq.mapInPandas(place, "leaf int, block int, part int, id bigint, v binary, code binary")
+    return placed.groupBy("leaf", "block", "part").applyInPandas(search, _FOUND)
+
+
+def _distinct(members: DataFrame) -> tuple[DataFrame, int]:
+    """id, v of every different vector, and the seed of the hash that ids are: the first that gives no two the same."""
+    seed = 0
+    while True:
+        hashed = members.select(F.xxhash64(F.lit(seed), "v").alias("id"), "v", F.xxhash64("v", F.lit(seed)).alias("check"))
+        uniq = materialise(hashed.groupBy("id").agg(F.first("v").alias("v"), (F.min("check") != F.max("check")).alias("collides")), "vectors-distinct")
+        if not uniq.filter("collides").limit(1).count():
+            return uniq.select("id", "v"), seed
+        seed += 1
 
 
 def similar_vectors(
@@ -188,34 +311,33 @@ def similar_vectors(
     m: int = SUBSPACES,
     sample: int = SAMPLE_ROWS,
     cell_rows: int = CELL_ROWS,
-    block_rows: int = BLOCK_ROWS,
+    children: int = _CHILDREN,
+    max_centres: int = MAX_CENTRES,
 ) -> DataFrame:
     """key, other, rank, similarity: the k most similar other keys of every key of ``vectors`` (key, v).
 
     Equal vectors are searched once. Of the keys that share one, only the k + 1 smallest can be anyone's neighbours, as
     ties go by key; those stand for the rest on the stored side, while every key gets its own row of results.
     """
-    members = materialise(vectors.select("key", "v", F.unhex(F.md5("v")).alias("vid")), "vectors")
-    first = members.select("vid", "key").withColumn("r", F.row_number().over(Window.partitionBy("vid").orderBy("key"))).filter(F.col("r") <= k + 1)
-    names = first.groupBy("vid").agg(F.sort_array(F.collect_list("key")).alias("names"))
-    uniq = members.groupBy("vid").agg(F.first("v").alias("v"))
+    members = materialise(vectors.select("key", "v"), "vectors")
+    uniq, seed = _distinct(members)
+    keys = members.select("key", F.xxhash64(F.lit(seed), "v").alias("id"))
+    first = keys.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("key"))).filter(F.col("r") <= k + 1)
+    names = materialise(first.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("names")), "vector-names")
     n = uniq.count()
-    spark = vectors.sparkSession
     if n > 1:
-        near = _nearest_distinct(uniq, n, k, dim, probes, keep, m, sample, cell_rows, block_rows)
+        found = _nearest_distinct(uniq, n, k, dim, probes, keep, m, sample, cell_rows, children, max_centres)
     else:
-        near = spark.createDataFrame([], _search_schema())
-    own = names.select("vid", F.col("names").alias("others"), F.lit(1.0).alias("similarity"))
-    others = near.join(names.withColumnsRenamed({"vid": "near", "names": "others"}), "near").select("vid", "others", "similarity")
-    ranked = (
-        own.unionByName(others)
-        .groupBy("vid")
-        .agg(F.collect_list(F.struct("similarity", "others")).alias("lists"))
-        .select("vid", F.array_sort(F.flatten(F.transform("lists", lambda g: F.transform(g["others"], lambda o: F.struct((-g["similarity"]).alias("d"), o.alias("other")))))).alias("near"))
-    )
-    best = F.slice(F.filter("near", lambda x: x["other"] != F.col("key")), 1, k)
-    rows = members.select("key", "vid").join(ranked, "vid").select("key", F.posexplode(best).alias("pos", "x"))
-    return rows.select("key", F.col("x.other").alias("other"), (F.col("pos") + 1).alias("rank"), (-F.col("x.d")).alias("similarity"))
+        found = vectors.sparkSession.createDataFrame([], _FOUND)
+    both = F.zip_with("similarity", "near", lambda s, o: F.struct((-s).alias("d"), o.alias("near")))
+    best = found.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list(both))), 1, k).alias("best")).select("id", F.explode("best").alias("x"))
+    others = best.select("id", "x.d", F.col("x.near").alias("near")).join(names.withColumnsRenamed({"id": "near", "names": "others"}), "near").select("id", "d", "others")
+    own = names.filter(F.size("names") > 1).select("id", F.lit(-1.0).cast("float").alias("d"), F.col("names").alias("others"))
+    named = F.transform("others", lambda o: F.struct("d", o.alias("other")))
+    ranked = own.unionByName(others).groupBy("id").agg(F.array_sort(F.flatten(F.collect_list(named))).alias("near"))
+    pick = F.slice(F.filter("near", lambda x: x["other"] != F.col("key")), 1, k)
+    rows = keys.join(ranked, "id").select("key", F.posexplode(pick).alias("pos", "x"))
+    return rows.select("key", F.col("x.other").alias("other"), (F.col("pos") + 1).alias("rank"), (-F.col("x.d")).cast("double").alias("similarity"))
 
 
 def similar_pairs(neighbours: DataFrame) -> DataFrame:

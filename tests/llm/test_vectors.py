@@ -20,13 +20,14 @@ def brute(x, names, k):
     return out
 
 
-def test_recall_on_clusters(spark):
+@pytest.mark.parametrize("cell_rows, children", [(1024, 256), (100, 256), (100, 3)])
+def test_recall_on_clusters(spark, cell_rows, children):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(60, 16))
     x = np.repeat(centres, 20, axis=0) + 0.15 * rng.normal(size=(1200, 16))
     names = [f"k{i:04d}" for i in range(len(x))]
     df = log(spark, [(i, n, v.tolist()) for i, (n, v) in enumerate(zip(names, x))])
-    out = similar_vectors(current_vectors(df, dim=16), k=5, dim=16, m=8, keep=40).collect()
+    out = similar_vectors(current_vectors(df, dim=16), k=5, dim=16, m=8, keep=40, cell_rows=cell_rows, children=children, sample=300).collect()
     want = {(a, names[j]) for a, js in brute(x, names, 5).items() for j in js}
     got = {(r.key, r.other) for r in out}
     assert len(out) == 5 * len(x) and len(got & want) / len(want) >= 0.97
@@ -48,7 +49,7 @@ def test_equal_vectors_are_neighbours_and_a_hot_group_stays_small(spark):
     hot = [(i, f"h{i:03d}", [1.0, 1.0, 0.0, 0.0]) for i in range(60)]
     rest = [(100 + i, f"r{i}", [0.0, 1.0, float(i), 1.0]) for i in range(5)]
     got = {}
-    for r in similar_vectors(current_vectors(log(spark, hot + rest), dim=4), k=3, dim=4, m=2, block_rows=2).collect():
+    for r in similar_vectors(current_vectors(log(spark, hot + rest), dim=4), k=3, dim=4, m=2, cell_rows=1, children=2).collect():
         got.setdefault(r.key, {})[r["rank"]] = r.other
     assert got["h000"] == {1: "h001", 2: "h002", 3: "h003"} and got["h001"] == {1: "h000", 2: "h002", 3: "h003"} and got["h059"] == {1: "h000", 2: "h001", 3: "h002"}
     assert all(len(v) == 3 for v in got.values()) and len(got) == 65
