@@ -2,12 +2,12 @@
 
 1. Seeds: every run of ``seed`` words of an item (all its words if it has fewer) is hashed. Documents are hashed word by
    word in the JVM and window by window in Arrow batches; only windows whose hash is set in a bitmap of the item seeds
-   leave the scan. The bitmap has a fixed size, so nothing that grows with the items is broadcast, and the exact match is
-   an equi-join on the seed hash.
+   leave the scan. The bitmap has 16 bits a seed, between 2 and 64 MB; beyond some 32 million seeds it fills up and lets more windows through to the exact match, an equi-join on the seed hash.
 2. A pair that holds a passage, or enough of an item in any order, shares so many of its seeds that one is left when the
    item's most frequent ones are put aside. Pairs meet on those others only, which loses none and keeps stock phrases
    from joining everything.
-3. Greedy string tiling of the pair's real words: the longest non-overlapping common runs, found with a running
+3. Texts are cut down to the documents of those pairs before they are shuffled, while these are up to a million ids.
+4. Greedy string tiling of the pair's real words: the longest non-overlapping common runs, found with a running
    Karp-Rabin hash and checked word by word, are marked until none reaches the minimum. The tiles give the longest
    passage and the share of the item they cover together, whatever their order.
 
@@ -20,6 +20,7 @@ Defined results
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,12 @@ from pyspark.sql import functions as F
 from ..session import materialise
 
 PASSAGE, SEED, COVERAGE = 13, 5, 0.7
-#: Bits of the seed bitmap: 2 MB, whatever the number of items. More items only let more windows through to the join.
-_BITS = 1 << 24
+#: Bits of the seed bitmap, at least and at most (2 and 64 MB), and the slices that are filled each in a task.
+_LEAST_BITS, _MOST_BITS, _SLICES = 1 << 24, 1 << 29, 256
+#: Ids of documents to tile that are broadcast to cut the texts down; with more, the texts are joined by a shuffle.
+MAX_SENT_IDS = 1_000_000
+#: Starts of common runs looked at together.
+_STARTS = 1 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -78,7 +83,7 @@ def _windows(batch: pa.RecordBatch, widths: list[int], own_width: int | None, bi
         if own_width is not None:
             keep &= np.minimum(length[row_of[: len(h)]], own_width) == w
         if bits is not None:
-            slot = (h & np.uint64(_BITS - 1)).astype(np.int64)
+            slot = (h & np.uint64(8 * len(bits) - 1)).astype(np.int64)
             keep &= (bits[slot >> 3] >> (slot & 7) & 1).astype(bool)
         k = np.flatnonzero(keep)
         rows = row_of[k]
@@ -102,73 +107,95 @@ def item_seeds(items: DataFrame, id_col: str, text: str, seed: int) -> DataFrame
     return _hashed(items, id_col, text).mapInArrow(run, _SEED_DDL)
 
 
-def seed_bitmap(seeds: DataFrame) -> bytes:
-    """OR of the tasks' bitmaps, each of the same fixed size."""
+def seed_bitmap(seeds: DataFrame) -> np.ndarray:
+    """One bit per slot of the seed hashes. Each slice is filled in a task of its own."""
+    bits = _LEAST_BITS
+    n = seeds.count()
+    while bits < min(16 * n, _MOST_BITS):
+        bits *= 2
+    size = bits // _SLICES
+    slots = seeds.select(F.col("h").bitwiseAND(F.lit(bits - 1)).alias("slot")).distinct()
+
+    def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        at = np.zeros(size, dtype=bool)
+        at[pdf["slot"].to_numpy() % size] = True
+        return pd.DataFrame({"slice": [key[0]], "bits": [np.packbits(at, bitorder="little").tobytes()]})
+
+    total = np.zeros(bits >> 3, dtype=np.uint8)
+    slices = slots.groupBy(F.floor(F.col("slot") / size).cast("int").alias("slice")).applyInPandas(fill, "slice int, bits binary")
+    for row in slices.toLocalIterator():
+        total[row["slice"] * size // 8 : (row["slice"] + 1) * size // 8] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return total
 
-    def fill(batches):
-        bits = np.zeros(_BITS >> 3, dtype=np.uint8)
-        for b in batches:
-            slot = b.column("h").to_numpy().view(np.uint64) & np.uint64(_BITS - 1)
-            np.bitwise_or.at(bits, (slot >> np.uint64(3)).astype(np.int64), (1 << (slot & np.uint64(7))).astype(np.uint8))
-        yield pa.record_batch([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
 
-    total = np.zeros(_BITS >> 3, dtype=np.uint8)
-    for row in seeds.select("h").coalesce(8).mapInArrow(fill, "bits binary").toLocalIterator():
-        total |= np.frombuffer(row["bits"], dtype=np.uint8)
-    return total.tobytes()
+def _common_runs(x: np.ndarray, y: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start in x, start in y, length) of the longest runs on each diagonal that x and y share, of ``least`` at least.
+
+    Windows with equal Karp-Rabin hashes are compared word by word and joined along their diagonal, a bounded number at a time.
+    """
+    hx, hy = window_hashes(x, least), window_hashes(y, least)
+    order = np.argsort(hx, kind="stable")
+    low, high = (np.searchsorted(hx[order], hy, side) for side in ("left", "right"))
+    at = np.flatnonzero(high > low)
+    n = (high - low)[at]
+    cuts = np.flatnonzero(np.diff(np.cumsum(n) // _STARTS)) + 1
+    runs = [np.zeros((0, 3), np.int64)]
+    for j, k in zip(np.split(at, cuts), np.split(n, cuts)):
+        ends = np.cumsum(k)
+        if not len(ends):
+            continue
+        i = order[np.repeat(low[j] - (ends - k), k) + np.arange(ends[-1])]
+        j = np.repeat(j, k)
+        same = np.ones(len(i), dtype=bool)
+        for w in range(least):
+            same &= x[i + w] == y[j + w]
+        i, j = i[same], j[same]
+        runs.append(_joined(j - i, i, np.ones(len(i), np.int64), len(x)))
+    d, i, k = _joined(*np.concatenate(runs).T, len(x)).T
+    return i, i + d, k + least - 1
+
+
+def _joined(d: np.ndarray, i: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
+    """Rows (diagonal, start, starts) with neighbours along a diagonal made one."""
+    order = np.argsort(d * width + i, kind="stable")
+    d, i, n = d[order], i[order], n[order]
+    new = np.ones(len(d), dtype=bool)
+    new[1:] = (d[1:] != d[:-1]) | (i[1:] != i[:-1] + n[:-1])
+    starts = np.flatnonzero(new)
+    return np.stack([d[new], i[new], np.add.reduceat(n, starts) if len(starts) else n], axis=1)
 
 
 def tiles(a: list, b: list, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (start in a, start in b, length) of the longest non-overlapping common runs, longest first.
 
-    Starts come from windows of ``least`` words with equal running Karp-Rabin hashes; each is extended and compared word
-    by word. Rounds repeat until no unmarked run of ``least`` words is left.
+    Common runs are taken by length, then by place in b; of one that is marked in part, the rest of ``least`` words or
+    more waits for its turn. It ends when no run or no ``least`` unmarked words are left.
     """
-    used_a, used_b = [False] * len(a), [False] * len(b)
+    number: dict = {}
+    x, y = (np.array([number.setdefault(w, len(number)) for w in words], dtype=np.int64) for words in (a, b))
+    i, j, n = _common_runs(x.view(np.uint64), y.view(np.uint64), least)
+    order = np.lexsort((i, j, -n))
+    free_x, free_y = np.ones(len(x), dtype=bool), np.ones(len(y), dtype=bool)
     out: list[tuple[int, int, int]] = []
-    mod, base = (1 << 61) - 1, 1_000_003
-    top = pow(base, least, mod)
-
-    def rolling(x: list, known: set) -> Iterator[tuple[int, int]]:
-        """(start, hash) of each window; a word that the other side lacks ends a run, so no window holds one."""
-        h = run = 0
-        for i, w in enumerate(x):
-            if w not in known:
-                h = run = 0
-                continue
-            h = h * base + hash(w)
-            if run >= least:
-                h -= top * hash(x[i - least])
-            h %= mod
-            run += 1
-            if run >= least:
-                yield i - least + 1, h
-
-    index: dict[int, list[int]] = {}
-    in_a, in_b = set(a), set(b)
-    for i, h in rolling(a, in_b):
-        index.setdefault(h, []).append(i)
-    # Marking words only takes matches away, so later rounds need no other starts than these.
-    starts = [(i, j) for j, h in rolling(b, in_a) for i in index.get(h, ())] if index else []
-    while starts:
-        found: list[tuple[int, int, int]] = []
-        left, best = [], least
-        for i, j in starts:
-            n = 0
-            while i + n < len(a) and j + n < len(b) and not used_a[i + n] and not used_b[j + n] and a[i + n] == b[j + n]:
-                n += 1
-            if n < least:
-                continue
-            left.append((i, j))
-            if n > best:
-                found, best = [], n
-            if n == best:
-                found.append((i, j, n))
-        for i, j, n in found:
-            if not any(used_a[i : i + n]) and not any(used_b[j : j + n]):
-                used_a[i : i + n] = used_b[j : j + n] = [True] * n
-                out.append((i, j, n))
-        starts = left
+    waiting: list[tuple[int, int, int]] = []  # (-length, start in b, start in a) of parts of runs
+    k, left = 0, min(len(x), len(y))
+    while left >= least and (k < len(order) or waiting):
+        following = (-int(n[order[k]]), int(j[order[k]]), int(i[order[k]])) if k < len(order) else None
+        if waiting and (following is None or waiting[0] < following):
+            size, at_b, at_a = heapq.heappop(waiting)
+        else:
+            (size, at_b, at_a), k = following, k + 1
+        size = -size
+        free = free_x[at_a : at_a + size] & free_y[at_b : at_b + size]
+        if free.all():
+            free_x[at_a : at_a + size] = free_y[at_b : at_b + size] = False
+            out.append((at_a, at_b, size))
+            left -= size
+            continue
+        edges = np.flatnonzero(np.diff(np.r_[False, free, False].astype(np.int8)))
+        for s, e in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            if e - s >= least:
+                heapq.heappush(waiting, (s - e, at_b + s, at_a + s))
     return out
 
 
@@ -193,9 +220,8 @@ def leaks(
     bits = docs.sparkSession.sparkContext.broadcast(seed_bitmap(seeds))
 
     def scan(batches):
-        table = np.frombuffer(bits.value, dtype=np.uint8)
         for b in batches:
-            yield from _windows(b, widths, None, table)
+            yield from _windows(b, widths, None, bits.value)
 
     hits = materialise(_hashed(docs, doc_id, doc_text).mapInArrow(scan, _SEED_DDL).select(F.col("id").alias("doc"), "width", "h").distinct(), "leak-hits")
     # A pair worth tiling shares at least ``need`` seeds: enough for a passage, or to cover the share asked for. Then it
@@ -204,9 +230,13 @@ def leaks(
     need = F.least(F.least(F.lit(passage), F.col("words")) - F.col("width") + 1, F.ceil(F.lit(coverage) * F.col("words") / F.col("width")))
     rare = seeds.join(usual, ["width", "h"]).withColumn("at", F.row_number().over(Window.partitionBy("id", "words").orderBy(F.desc("n"), "h", "pos"))).filter(F.col("at") >= need)
     pairs = hits.join(rare.select("width", "h", F.col("id").alias("item")).distinct(), ["width", "h"]).select("doc", "item").distinct()
-    texts = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(doc_text).alias("dt")).join(pairs, "doc")
-    both = texts.join(items.select(F.col(item_id).cast("bigint").alias("item"), F.col(item_text).alias("it")), "item")
-    both = both.select("doc", "item", word_array(F.col("dt")).alias("dw"), word_array(F.col("it")).alias("iw"))
+    pairs = materialise(pairs, "leak-pairs")
+    texts = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(doc_text).alias("dt"))
+    wanted = pairs.select("doc").distinct()
+    if wanted.limit(MAX_SENT_IDS + 1).count() <= MAX_SENT_IDS:
+        texts = texts.join(F.broadcast(wanted), "doc", "left_semi")
+    asked = pairs.join(items.select(F.col(item_id).cast("bigint").alias("item"), F.col(item_text).alias("it")), "item")
+    both = texts.join(asked, "doc").select("doc", "item", word_array(F.col("dt")).alias("dw"), word_array(F.col("it")).alias("iw"))
 
     def tile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -1,4 +1,5 @@
 import random
+import time
 
 from corpusloom.llm.leaks import leaks, tiles
 
@@ -22,6 +23,42 @@ def test_tiles():
     assert tiles(a, list("zzz"), 2) == [] == tiles([], b, 2)
 
 
+def test_tiles_of_repeated_words_are_near_linear():
+    for a, b in ((400, 4_000), (2_000, 20_000)):
+        began = time.process_time()
+        assert tiles(["-"] * a, ["-"] * b, 5) == [(0, 0, a)]
+        if a == 400:
+            assert time.process_time() - began < 1
+    assert tiles(list("ab" * 200), list("ab" * 2_000 + "c"), 5) == [(0, 0, 400)]
+
+
+def rounds(a, b, least):
+    """Tiling by the definition: in each round every pair of places, the longest runs first, then by place in b."""
+    free_a, free_b, out = [True] * len(a), [True] * len(b), []
+    while True:
+        found = []
+        for j in range(len(b)):
+            for i in range(len(a)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and free_a[i + n] and free_b[j + n] and a[i + n] == b[j + n]:
+                    n += 1
+                if n >= least:
+                    found.append((-n, j, i))
+        if not found:
+            return out
+        n, j, i = min(found)
+        free_a[i : i - n] = free_b[j : j - n] = [False] * -n
+        out.append((i, j, -n))
+
+
+def test_tiles_against_the_definition():
+    rnd = random.Random(4)
+    for k in range(300):
+        a, b = (rnd.choices("abc"[: 1 + k % 3], k=rnd.randint(0, 14 + 10 * (k % 2))) for _ in range(2))
+        least = rnd.randint(1, 4)
+        assert tiles(a, b, least) == rounds(a, b, least)
+
+
 def test_exact_passages(spark):
     item, small = words(40, 1), words(6, 2)
     noise = lambda n: words(30, 100 + n)
