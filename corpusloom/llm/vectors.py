@@ -15,8 +15,8 @@
 A leaf that k-means cannot divide (it gave nine tenths to one side) is cut into blocks by hash, each of which its queries
 visit; queries that crowd one leaf are cut into parts, each of which gets the stored vectors.
 
-Sizes: the driver and the tasks hold the tree, 256 bytes for each ``cell_rows`` vectors and ``MAX_CENTRES`` at most (64 MB,
-some 270 million vectors; beyond, leaves grow and searching with them), and about ``sample`` vectors.
+Sizes: the driver and the tasks hold the tree, 256 bytes for each leaf and ``MAX_CENTRES`` nodes at most (64 MB), and about
+``sample`` vectors. From 13 million vectors on that bound makes leaves larger, to a thousand vectors for 100 million.
 
 Defined results
   * a key's row with the highest order counts, and only if it has ``dim`` numbers, none null or NaN or infinite, not all
@@ -39,11 +39,11 @@ from ..session import materialise
 
 DIM, K = 64, 5
 #: Rows of the sample that the first level and the codebooks are fitted on, and of a leaf on average.
-SAMPLE_ROWS, CELL_ROWS = 40_000, 1_024
+SAMPLE_ROWS, CELL_ROWS = 40_000, 128
 MAX_CENTRES = 1 << 18
 #: Children of one node at most, and vectors that each of them is fitted on.
 _CHILDREN, _FIT_ROWS = 256, 64
-PROBES, KEEP, SUBSPACES = 4, 96, 16
+PROBES, KEEP, SUBSPACES = 4, 64, 16
 #: Nodes that a query goes on from at each level of the tree, at least.
 _BEAM = 8
 
@@ -212,6 +212,7 @@ _FOUND = "id bigint, near array<bigint>, similarity array<float>"
 def _nearest_distinct(uniq: DataFrame, n: int, k: int, dim: int, probes: int, keep: int, m: int, sample: int, cell_rows: int, children: int, max_centres: int) -> DataFrame:
     """id, near, similarity: of each of the n different vectors of ``uniq`` (id, v), the best k of each leaf searched."""
     sc = uniq.sparkSession.sparkContext
+    cell_rows = max(cell_rows, -(-5 * n // (2 * max_centres)))
     share = min(1.0, sample / n)
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -227,8 +228,8 @@ def _nearest_distinct(uniq: DataFrame, n: int, k: int, dim: int, probes: int, ke
     residual = x - tree.centres[np.concatenate([tree.leaves(x[s : s + 2_000], 1)[:, 0] for s in range(0, len(x), 2_000)])]
     words = np.stack([k_means(np.ascontiguousarray(part), min(256, len(x)), 6, 8 + j) for j, part in enumerate(np.split(residual, m, axis=1))])
     # Blocks of stored vectors and parts of queries for the leaves that need more than one.
-    blocks = {leaf: -(-c // (4 * cell_rows)) for leaf, c in stored.items() if c > 4 * cell_rows}
-    parts = {leaf: -(-c // (32 * cell_rows)) for leaf, c in asked.items() if c > 32 * cell_rows}
+    blocks = {leaf: -(-c // (16 * cell_rows)) for leaf, c in stored.items() if c > 16 * cell_rows}
+    parts = {leaf: -(-c // (256 * cell_rows)) for leaf, c in asked.items() if c > 256 * cell_rows}
     shared = sc.broadcast((tree, words, blocks, parts))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
