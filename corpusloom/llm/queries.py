@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from .copies import collapsed, copies
 from .leaks import leaks
-from .lines import repeated_lines, without_lines
+from .lines import line_steps, repeated_lines, without_lines
 from .lookalikes import consistent_texts, lookalike_classes, lookalike_pairs
 from .mainbody import page_bodies, surrounding_lines
 from .pack import CAPACITY, pack, token_count
@@ -62,6 +62,11 @@ def p2_cleaned(spark, d):
     return without_lines(chunks.select("chunk_no", "text"), repeated_lines(chunks))
 
 
+@query("p2_steps")
+def p2_steps(spark, d):
+    return line_steps(table(spark, d, "chunks")).withColumnRenamed("svc", "service")
+
+
 # ---------------------------------------------------------------- problem 5: copies that differ in formatting
 
 _COPIES_SQL = r"""

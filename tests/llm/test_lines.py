@@ -1,6 +1,6 @@
 from collections import defaultdict
 
-from corpusloom.llm.lines import repeated_lines, without_lines
+from corpusloom.llm.lines import line_steps, repeated_lines, without_lines
 
 DDL = "chunk_no bigint, service string, source_url string, text string, line string, a int, n int"
 
@@ -49,6 +49,24 @@ def test_rare_lines_are_not_significant(spark):
     assert repeated_lines(frame(spark, rows), min_pages=1).count() == 0
 
 
+def test_chance_repeats_are_rejected_before_the_page_rule(spark):
+    """Copies bring ordinary lines to two or three pages; the false-discovery step rejects those, a page count the rest."""
+    rows = [(i, f"s{i % 3}", f"u{i}", f"h\nHome\nbody {i // (6 if i % 2 else 1)}\nown {i}" + ("\nsome" if i % 60 == 0 else "")) for i in range(900)]
+    steps = {r.svc: r for r in line_steps(frame(spark, rows)).collect()}
+    assert sum(r.chance for r in steps.values()) > 0 and all(r.tested == r.chance + r.few + r.reported for r in steps.values())
+    found = repeated_lines(frame(spark, rows), min_pages=2)
+    assert {r.line_no for r in found.collect()} <= {2, 5} and found.filter("line_no = 2").count() == 900
+    rejected = [sum(r.chance for r in line_steps(frame(spark, rows), fdr=f).collect()) for f in (1e-12, 0.05, 1.0)]
+    assert rejected == sorted(rejected, reverse=True) and rejected[0] > rejected[2]
+
+
+def test_removal_of_many_lines(spark):
+    n = 20_000
+    df = frame(spark, [(1, "s", "u", "\n".join(map(str, range(1, n + 1))))])
+    drop = spark.range(2, n + 1, 2).selectExpr("1L AS id", "id AS line_no")
+    assert without_lines(df, drop).first().text == "\n".join(map(str, range(1, n + 1, 2)))
+
+
 def test_removal(spark):
     rows = [(1, "s", "u", "h\na\nb\na"), (2, "s", "u", "h\na"), (3, None, None, None), (4, "s", "u", "")]
     df = frame(spark, rows)
