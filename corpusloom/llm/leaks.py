@@ -165,15 +165,21 @@ def _joined(d: np.ndarray, i: np.ndarray, n: np.ndarray, width: int) -> np.ndarr
     return np.stack([d[new], i[new], np.add.reduceat(n, starts) if len(starts) else n], axis=1)
 
 
-def tiles(a: list, b: list, least: int) -> list[tuple[int, int, int]]:
+def tiles(a: np.ndarray | list, b: np.ndarray | list, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (start in a, start in b, length) of the longest non-overlapping common runs, longest first.
 
     Common runs are taken by length, then by place in b; of one that is marked in part, the rest of ``least`` words or
-    more waits for its turn. It ends when no run or no ``least`` unmarked words are left.
+    more waits for its turn. It ends when no run or no ``least`` unmarked words are left. Words are numbers, as 64-bit
+    hashes, or strings.
     """
-    number: dict = {}
-    x, y = (np.array([number.setdefault(w, len(number)) for w in words], dtype=np.int64) for words in (a, b))
+    if not len(a) or not len(b):
+        return []
+    x, y = np.asarray(a), np.asarray(b)
+    if x.dtype != np.int64:
+        x, y = np.split(np.unique(np.concatenate([x, y]), return_inverse=True)[1].astype(np.int64), [len(x)])
     i, j, n = _common_runs(x.view(np.uint64), y.view(np.uint64), least)
+    if not len(i):
+        return []
     order = np.lexsort((i, j, -n))
     free_x, free_y = np.ones(len(x), dtype=bool), np.ones(len(y), dtype=bool)
     out: list[tuple[int, int, int]] = []
@@ -236,13 +242,13 @@ def leaks(
     if wanted.limit(MAX_SENT_IDS + 1).count() <= MAX_SENT_IDS:
         texts = texts.join(F.broadcast(wanted), "doc", "left_semi")
     asked = pairs.join(items.select(F.col(item_id).cast("bigint").alias("item"), F.col(item_text).alias("it")), "item")
-    both = texts.join(asked, "doc").select("doc", "item", word_array(F.col("dt")).alias("dw"), word_array(F.col("it")).alias("iw"))
+    both = texts.join(asked, "doc").select("doc", "item", word_hashes(F.col("dt")).alias("dw"), word_hashes(F.col("it")).alias("iw"))
 
     def tile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for d, i, dw, iw in zip(pdf["doc"], pdf["item"], pdf["dw"], pdf["iw"]):
-                t = tiles(list(iw), list(dw), min(seed, len(iw)))
+                t = tiles(iw, dw, min(seed, len(iw)))
                 longest, covered = max((n for *_, n in t), default=0), sum(n for *_, n in t)
                 rows.append((i, d, len(iw), longest, covered, longest >= min(passage, len(iw))))
             yield pd.DataFrame(rows, columns=["item", "doc", "words", "longest", "covered", "exact"])
