@@ -148,6 +148,27 @@ def p6_kept(spark, d):
     return texts.join(whole, "chunk_no", "left").select("chunk_no", F.when(F.col("got") == F.col("want"), F.col("n")).alias("covered"), "within_limit")
 
 
+@query(
+    "p6_joints",
+    r"""SELECT chunk_no, least(1792, CASE WHEN starts_with(text, coalesce(heading, '') || chr(10) || chr(10)) THEN length(coalesce(heading, '')) + 2
+      ELSE length(regexp_extract(text, '^[^\n]*\n[^\S\n]*\n')) END)::BIGINT AS prefix_chars, TRUE AS prefixed, TRUE AS joined, TRUE AS within_overlap
+    FROM chunks WHERE length(text) > 2048""",
+)
+def p6_joints(spark, d):
+    """Of each row that is cut: the length of its prefix, whether all pieces start with it and how neighbours meet."""
+    p = split_long(table(spark, d, "chunks"))
+    g = p.groupBy(F.col("id").alias("chunk_no")).agg(F.array_sort(F.collect_list(F.struct("piece_no", "piece", "body_start", "body_end"))).alias("p"))
+    g = g.withColumn("n", F.expr("p[0].body_start")).withColumn("head", F.expr("left(p[0].piece, cast(n AS int))"))
+    pairs = "transform(sequence(1, size(p) - 1), i -> {})"
+    return g.select(
+        "chunk_no",
+        F.col("n").alias("prefix_chars"),
+        F.expr("forall(p, x -> startswith(x.piece, head))").alias("prefixed"),
+        F.expr(f"forall({pairs.format('p[i].body_start <= p[i-1].body_end AND p[i].body_start > p[i-1].body_start AND p[i].body_end > p[i-1].body_end')}, x -> x)").alias("joined"),
+        F.expr(f"forall({pairs.format('p[i-1].body_end - p[i].body_start <= 200')}, x -> x)").alias("within_overlap"),
+    )
+
+
 # ---------------------------------------------------------------- problem 7: packing into containers
 
 _TOKENS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x0b\x1c-\x1f\x85\p{Z}]+'))"

@@ -6,8 +6,9 @@ atoms are then packed greedily up to the limit, and each piece starts with trail
 Defined results
   * only texts longer than the limit are cut; others are one piece, unchanged; null texts have no piece, empty ones one;
   * every piece starts with the heading prefix: the heading and an empty line where the text starts with them, else the
-    first paragraph if it is a single line that ends in an empty line; where that prefix would fill more than half of
-    the limit, or the text has none, the prefix is empty and the whole text counts as body;
+    first paragraph if it is a single line that ends in an empty line, else nothing; a prefix that would leave less than an
+    eighth of the limit is cut where it does, and the rest of it counts as body;
+  * sections end before a heading line (``#`` marks), at two or more empty lines and at form feeds;
   * body_start/body_end are offsets of code points in the text: pieces tile the body, each begins at most ``overlap``
     before the end of the one before it and ends after it, so that no body text is lost;
   * null headings count as empty; repeated rows are cut alike; other columns are ignored.
@@ -27,6 +28,7 @@ LIMIT, OVERLAP = 2048, 200
 _SEPARATORS = tuple(
     re.compile(p)
     for p in (
+        r"(?:\r?\n[^\S\n]*){3,}|\f|\n(?=#{1,6} )",
         r"(?:\r?\n[^\S\n]*){2,}",
         r"\n",
         r"[.!?…]+[\"'”’)\]]*\s+|[。！？]+[」』）]*",
@@ -87,7 +89,7 @@ def prefix_length(text: str, heading: str, limit: int) -> int:
     else:
         m = re.match(r"[^\n]*\n[^\S\n]*\n", text)
         n = m.end() if m else 0
-    return n if n <= limit // 2 else 0
+    return min(n, limit - limit // 8)
 
 
 def split_long(df: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, id_col: str = "chunk_no", text: str = "text", heading: str = "heading") -> DataFrame:

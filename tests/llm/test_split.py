@@ -29,6 +29,16 @@ def test_natural_boundaries():
     assert check("x" * 100, 0, 30, 5)[0] == (0, 30)
 
 
+def test_sections_come_before_paragraphs():
+    text = "\n\n".join(["Some text. " * 5] * 3) + "\n# Next\n" + "\n\n".join(["More text. " * 5] * 3) + "\n\n\n" + "Last. " * 12
+    assert [text[a : a + 5] for a, _ in check(text, 0, 200, 0)] == ["Some ", "# Nex", "Last."]
+
+
+def test_long_prefixes_are_cut_not_dropped():
+    assert prefix_length("h" * 1030 + "\n\nbody", "h" * 1030, 2048) == 1032
+    assert prefix_length("h" * 3000 + "\n\nbody", "h" * 3000, 2048) == 1792
+
+
 def test_rows(spark):
     long = "word " * 1000
     rows = [(1, "H", "H\n\n" + long), (2, "H", "H\n\nshort"), (3, None, "First line\n\n" + long), (4, "H", None), (5, "H", ""), (6, "h" * 3000, "h" * 3000 + "\n\n" + long), (7, None, "\n\n" + long), (1, "H", "H\n\n" + long), (8, "H", "H\n\n" + "x" * 50000), (9, "H", "H\n\n" + "é" * 2045), (10, "H", "H\n\n" + "é" * 2046)]
@@ -57,7 +67,7 @@ def test_prefix():
     assert prefix_length("H\n\nx", "H", 2048) == 3
     assert prefix_length("G\n \nx", "H", 2048) == 4
     assert prefix_length("no heading here", "H", 2048) == 0
-    assert prefix_length("h" * 1100 + "\n\nx", "h" * 1100, 2048) == 0
+    assert prefix_length("h" * 1100 + "\n\nx", "h" * 1100, 2048) == 1102
 
 
 def test_kept_sees_lost_and_wrong_pieces(spark, monkeypatch):
