@@ -130,11 +130,15 @@ def _content_root(root: Element) -> Element | None:
     return next((found[r] for r in ROOTS if r in found), None)
 
 
+def page_title(root: Element, url: str) -> str:
+    tag = next((e for e in root.walk() if e.tag == "title"), None)
+    return url if tag is None else "".join(tag.strings())
+
+
 def sections(html: str, url: str, section_words: int = SECTION_WORDS, page_words: int = PAGE_WORDS) -> tuple[str, list[tuple[str, str]]]:
     """(page title, [(heading, text)]); no sections where the page has no content root or too little prose."""
     root = parse(html)
-    title_tag = next((e for e in root.walk() if e.tag == "title"), None)
-    title = url if title_tag is None else "".join(title_tag.strings())
+    title = page_title(root, url)
     _prune(root, _dropped)
     main = _content_root(root)
     if main is None:
@@ -149,6 +153,19 @@ def sections(html: str, url: str, section_words: int = SECTION_WORDS, page_words
     return title, kept if sum(len(x.split()) for _, x in kept) >= page_words else []
 
 
+def page_titles(df: DataFrame, ids: list[str], url: str = "url", html: str = "html") -> DataFrame:
+    """ids, page_title of every page with html: its title, or the url where it has none."""
+    pages = df.select(*ids, F.coalesce(F.col(url), F.lit("")).alias("_url"), F.col(html).alias("_html")).filter("_html IS NOT NULL")
+    schema = df.select(*ids).schema.add("page_title", t.StringType())
+
+    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [page_title(parse(h), u) for h, u in zip(pdf["_html"], pdf["_url"])]
+            yield pdf[ids].assign(page_title=pd.array(found, dtype=object))
+
+    return pages.mapInPandas(extract, schema)
+
+
 def page_sections(df: DataFrame, ids: list[str], url: str = "url", html: str = "html", section_words: int = SECTION_WORDS, page_words: int = PAGE_WORDS) -> DataFrame:
     """ids, page_title, section_no, heading, text. Null html gives none; a null url stands as an empty title."""
     pages = df.select(*ids, F.coalesce(F.col(url), F.lit("")).alias("_url"), F.col(html).alias("_html")).filter("_html IS NOT NULL")

@@ -20,12 +20,15 @@ def url_map(chunks: DataFrame, ingested: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("source_url").alias("url")).agg(F.max_by("service", "chunk_no").alias("service"), F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids"))
 
 
-def latest(snapshots: DataFrame, snapshot_no: int) -> DataFrame:
-    """The queue as one snapshot delivered it: per trimmed url the row with the highest load_no."""
+def latest(snapshots: DataFrame, back: int = 0) -> DataFrame:
+    """The queue as the newest snapshot delivered it, or the one ``back`` before: per trimmed url the row with the highest load_no."""
     from ..functions import text as T
     from .dedupe import keep_last
 
-    rows = snapshots.filter((F.col("snapshot_no") == snapshot_no) & F.col("url").isNotNull()).withColumn("url", T.strip(F.col("url")))
+    number = snapshots.agg(F.max("snapshot_no").alias("n"))
+    for _ in range(back):
+        number = snapshots.filter(F.col("snapshot_no") < number.scalar()).agg(F.max("snapshot_no").alias("n"))
+    rows = snapshots.filter((F.col("snapshot_no") == number.scalar()) & F.col("url").isNotNull()).withColumn("url", T.strip(F.col("url")))
     return keep_last(rows, ["url"], "load_no")
 
 

@@ -10,12 +10,12 @@ from ..functions import text as T
 MAX_CHARS = 2000
 
 
-def validated(df: DataFrame, body: str = "body", services: list[str] | None = None) -> DataFrame:
+def validated(df: DataFrame, body: str = "body", services: DataFrame | None = None) -> DataFrame:
     """Adds outcome, question and service_filter.
 
     outcome: 'options' (nothing to answer), 'invalid' (broken JSON, not an object, or a value of the wrong type),
     'missing' (no question or a blank one), 'too_long', 'ok'. The question is stripped; both are null unless ok. A
-    service that is not known searches everything, so service_filter is null then, and for 'all'.
+    service that is not in ``services`` (service) searches everything, so service_filter is null then, and for 'all'.
     """
     top = F.try_parse_json(F.col(body))
     df = df.withColumn("_top", top)
@@ -39,6 +39,10 @@ def validated(df: DataFrame, body: str = "body", services: list[str] | None = No
     )
     df = df.withColumn("outcome", outcome)
     service = T.strip(F.lower(F.coalesce(s, F.lit("all"))))
-    known = service.isin(*services) if services else F.lit(True)
     ok = F.col("outcome") == "ok"
-    return df.withColumn("question", F.when(ok, F.col("_q"))).withColumn("service_filter", F.when(ok & known & (service != "all"), service)).drop("_top", "_in", "_q")
+    out = df.withColumn("question", F.when(ok, F.col("_q"))).withColumn("service_filter", F.when(ok & (service != "all"), service)).drop("_top", "_in", "_q")
+    if services is None:
+        return out
+    known = services.select(F.col("service").alias("service_filter"), F.lit(True).alias("_known")).distinct()
+    joined = out.join(known, "service_filter", "left").withColumn("service_filter", F.when(F.col("_known"), F.col("service_filter")))
+    return joined.select(*out.columns)

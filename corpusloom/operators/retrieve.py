@@ -1,12 +1,13 @@
 """Filtered cosine retrieval, ordered context and per-page sources.
 
-The queries are a stated, small set; stored vectors stream past them in blocks and each task keeps the best k per query
-before anything is shuffled.
+The queries are a stated set, shipped in blocks of bounded size; stored vectors stream past each and every task keeps the
+best k per query before anything is shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Most queries of one call: they are shipped to every task, so their number is checked.
-MAX_QUERIES = 10_000
+#: Queries shipped to every task at a time; more are asked in as many passes over the stored vectors as it takes.
+QUERY_BLOCK = 10_000
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -25,30 +26,21 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "key", vector: str = "v", label: str | None = None) -> DataFrame:
-    """qid, key, distance, rank: the k nearest stored vectors of each query, ties by key.
-
-    ``queries`` has qid, qv and, with ``label``, qlabel: a query with a label sees only vectors of that label, one with a
-    null label all of them. Null, empty, zero and NaN vectors and those of another length than the query are not found.
-    """
-    rows = queries.limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries in one call")
-    kind = dict(vectors.dtypes)[key]
-    schema = f"qid bigint, key {kind}, distance double"
+def _ask(vectors: DataFrame, rows: list, k: int, label: bool, schema: str) -> DataFrame:
     groups: dict[int, list] = {}
     for r in rows:
         q = np.array([np.nan if x is None else x for x in r["qv"] or []], dtype=np.float64)
         n = np.linalg.norm(q)
         if len(q) and n > 0 and np.isfinite(n):
             groups.setdefault(len(q), []).append((r["qid"], q / n, r["qlabel"] if label else None))
-    shared = vectors.sparkSession.sparkContext.broadcast(groups)
+    asked = {dim: (np.array([a for a, *_ in g], dtype=np.int64), np.stack([q for _, q, _ in g]), pd.Series([w for *_, w in g], dtype=object)) for dim, g in groups.items()}
+    shared = vectors.sparkSession.sparkContext.broadcast(asked)
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[int, pd.DataFrame] = {}
+        best: pd.DataFrame | None = None
         for pdf in batches:
             size = pdf["v"].map(lambda v: 0 if v is None else len(v))
-            for dim, asked in shared.value.items():
+            for dim, (qids, q, labels) in shared.value.items():
                 part = pdf[size == dim]
                 if part.empty:
                     continue
@@ -56,22 +48,39 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "key",
                 norm = np.linalg.norm(x, axis=1)
                 good = np.isfinite(norm) & (norm > 0)
                 part, x = part[good], x[good] / norm[good, None]
-                score = np.stack([q for _, q, _ in asked]) @ x.T
-                keys = part["key"].to_numpy()
-                for (qid, _, ql), s in zip(asked, score):
-                    seen = np.arange(len(keys)) if ql is None else np.flatnonzero(part["label"].to_numpy() == ql)
-                    if len(seen) > k:  # keep everything tied with the k-th
-                        cut = np.partition(s[seen], len(seen) - k)[len(seen) - k]
-                        seen = seen[s[seen] >= cut]
-                    new = pd.DataFrame({"qid": qid, "key": keys[seen], "distance": 1 - s[seen]})
-                    both = pd.concat([best[qid], new]) if qid in best else new
-                    best[qid] = both.sort_values(["distance", "key"]).head(k)
-        if best:
-            out = pd.concat(best.values())
-            yield out.assign(key=out["key"].to_numpy(dtype=object))  # one array, whatever the frames were
+                if part.empty:
+                    continue
+                found = [] if best is None else [best]
+                step = max(1, 4_000_000 // len(x))
+                for s in range(0, len(q), step):
+                    score = q[s : s + step] @ x.T
+                    if label:
+                        of = labels.iloc[s : s + step]
+                        unseen = of.notna().to_numpy()[:, None] & (of.to_numpy()[:, None] != part["label"].to_numpy(dtype=object)[None, :])
+                        score[unseen] = -np.inf
+                    # Everything tied with the k-th stays.
+                    cut = np.partition(score, len(x) - k, axis=1)[:, len(x) - k, None] if len(x) > k else -np.inf
+                    qi, vi = np.nonzero((score >= cut) & (score > -np.inf))
+                    found.append(pd.DataFrame({"qid": qids[s + qi], "key": part["key"].to_numpy(dtype=object)[vi], "distance": 1 - score[qi, vi]}))
+                best = pd.concat(found).sort_values(["qid", "distance", "key"]).groupby("qid").head(k)
+        if best is not None:
+            yield best
+
+    return vectors.mapInPandas(nearest, schema)
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "key", vector: str = "v", label: str | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+    """qid, key, distance, rank: the k nearest stored vectors of each query, ties by key.
 
+    ``queries`` has qid (one row each), qv and, with ``label``, qlabel: a query with a label sees only vectors of that
+    label, one with a null label all of them. Null, empty, zero and NaN vectors and those of another length than the query
+    are not found. Queries are shipped in blocks of about ``block``, by a hash of qid.
+    """
+    schema = f"qid bigint, key {dict(vectors.dtypes)[key]}, distance double"
     slim = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v"), *([F.col(label).alias("label")] if label else []))
-    found = slim.mapInPandas(nearest, schema)
+    blocks = max(1, -(-queries.count() // block))
+    parts = (queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == n) if blocks > 1 else queries for n in range(blocks))
+    found = reduce(DataFrame.unionByName, (_ask(slim, p.collect(), k, label is not None, schema) for p in parts))
     w = Window.partitionBy("qid").orderBy("distance", "key")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,6 +20,6 @@ def delete_keys(target: DataFrame, gone: DataFrame, keys: list[str]) -> DataFram
     return target.join(gone, keys, "left_anti")
 
 
-def fail_if_any(df: DataFrame, bad: str, message: str) -> DataFrame:
+def fail_if_any(df: DataFrame, bad: str, message: str | Column) -> DataFrame:
     """``df`` unchanged, or an error when it is computed and a row meets ``bad``: all or nothing."""
-    return df.filter(F.when(F.expr(bad), F.raise_error(F.lit(message)).cast("boolean")).otherwise(F.lit(True)))
+    return df.filter(F.when(F.expr(bad), F.raise_error(F.lit(message) if isinstance(message, str) else message).cast("boolean")).otherwise(F.lit(True)))

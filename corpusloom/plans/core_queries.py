@@ -12,13 +12,15 @@ from ..functions import urls as U
 from ..operators.answer import NO_TEXT, answered, prompt, responses
 from ..operators.chunking import chunk_sections
 from ..operators.dedupe import keep_first_ranked, keep_last
-from ..operators.extract import page_chunks, page_sections
+from ..operators.crawl import crawl, crawl_counts, crawl_urls
+from ..operators.extract import page_chunks, page_sections, page_titles
 from ..operators.queue import apply_discovery, apply_refresh, diff, latest, orphaned_ids, outcome, overdue, overdue_per_service, page_diff, url_map
 from ..operators.requests import validated
 from ..operators.retrieve import context, sources, top_k, with_text
 from ..operators.runs import runs_of, with_total
 from ..operators.snapshots import snapshot_changes
 from ..operators.tables import delete_keys, insert_if_absent, upsert
+from ..jobs import discover, seed, seed_counts
 from ..session import shared_dir, table
 from ..sources.chunk_files import fresh_path, read_chunk_files, write_chunk_files
 from ..sources.pages import last_pages, read_through
@@ -133,20 +135,19 @@ def sitemap_scan(spark, d):
 # ---------------------------------------------------------------- pages, sections and chunks
 
 
-@query(
-    "page_titles",
-    r"SELECT fetch_no, regexp_extract(html, '<title>\s*(.*?)\s*</title>', 1) AS page_title FROM fetch_results WHERE html IS NOT NULL AND regexp_matches(html, '<title>[^<&]*</title>')",
-)
-def page_titles(spark, d):
-    f = table(spark, d, "fetch_results").filter(r"html IS NOT NULL AND html RLIKE '<title>[^<&]*</title>'")
-    return page_sections(f, ["fetch_no"], section_words=0, page_words=0).select("fetch_no", "page_title").distinct().unionByName(_titles_without_sections(f))
+_HEAD = r"regexp_extract(html, '(?is)<title(\s[^>]*)?>(.*?)</title', 2)"
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&amp;", "&"))
+
+
+def _plain_sql(e: str) -> str:
+    for a, b in _ENTITIES:
+        e = f"replace({e}, '{a}', '{b}')"
+    return rf"regexp_replace(regexp_replace({e}, '^\s+', ''), '\s+$', '')"
 
 
-def _titles_without_sections(f):
-    """Pages without any section still have a title."""
-    have = page_sections(f, ["fetch_no"], section_words=0, page_words=0).select("fetch_no").distinct()
-    left = f.join(have, "fetch_no", "left_anti")
-    return left.select("fetch_no", F.btrim(F.regexp_extract("html", r"<title>(.*?)</title>", 1)).alias("page_title"))
+@query("page_titles", f"SELECT fetch_no, CASE WHEN regexp_matches(html, '(?i)<title[ >]') THEN {_plain_sql(_HEAD)} ELSE coalesce(url, '') END AS page_title FROM fetch_results WHERE html IS NOT NULL")
+def page_titles_query(spark, d):
+    return page_titles(table(spark, d, "fetch_results"), ["fetch_no"])
 
 
 @query("page_sections")
@@ -308,6 +309,8 @@ def vector_records(spark, d):
 
 _SEED = """seed AS (SELECT source_url AS url, arg_max(service, chunk_no) FILTER (service IS NOT NULL) AS any_service, max_by(service, chunk_no) AS service, list_sort(list(DISTINCT chunk_id)) AS chunk_ids
   FROM chunks WHERE coalesce(source_url, '') <> '' AND coalesce(chunk_id, '') <> '' AND chunk_id IN (SELECT key FROM vectors) GROUP BY source_url)"""
+_NEWEST = "(SELECT max(snapshot_no) FROM url_snapshots)"
+_BEFORE = f"(SELECT max(snapshot_no) FROM url_snapshots WHERE snapshot_no < {_NEWEST})"
 _QUEUE = r"""queue AS (SELECT * EXCLUDE (url), url FROM (SELECT * REPLACE (regexp_replace(regexp_replace(url, '^\s+', ''), '\s+$', '') AS url) FROM url_snapshots WHERE snapshot_no = @N AND url IS NOT NULL)
   QUALIFY row_number() OVER (PARTITION BY url ORDER BY load_no DESC) = 1)"""
 
@@ -323,18 +326,18 @@ def _seed(spark, d):
 
 
 def _queue_ids(spark, d):
-    return latest(table(spark, d, "url_snapshots"), 45).select("url", F.array_join(F.array_sort("chunk_ids"), ",").alias("ids"), F.lit("queue").alias("origin"))
+    return latest(table(spark, d, "url_snapshots")).select("url", F.array_join(F.array_sort("chunk_ids"), ",").alias("ids"), F.lit("queue").alias("origin"))
 
 
 _QUEUE_IDS = "q AS (SELECT url, array_to_string(list_sort(chunk_ids), ',') AS ids, 'queue' AS origin FROM queue), s AS (SELECT url, array_to_string(chunk_ids, ',') AS ids, 'seed' AS origin FROM seed)"
 
 
-@query("seed_insert_if_absent", f"WITH {_SEED}, {_QUEUE.replace('@N', '45')}, {_QUEUE_IDS} SELECT * FROM q UNION ALL SELECT * FROM s WHERE url NOT IN (SELECT url FROM q)")
+@query("seed_insert_if_absent", f"WITH {_SEED}, {_QUEUE.replace('@N', _NEWEST)}, {_QUEUE_IDS} SELECT * FROM q UNION ALL SELECT * FROM s WHERE url NOT IN (SELECT url FROM q)")
 def seed_insert_if_absent(spark, d):
     return insert_if_absent(_queue_ids(spark, d), _seed(spark, d), ["url"])
 
 
-@query("seed_overwrite", f"WITH {_SEED}, {_QUEUE.replace('@N', '45')}, {_QUEUE_IDS} SELECT * FROM s UNION ALL SELECT * FROM q WHERE url NOT IN (SELECT url FROM s)")
+@query("seed_overwrite", f"WITH {_SEED}, {_QUEUE.replace('@N', _NEWEST)}, {_QUEUE_IDS} SELECT * FROM s UNION ALL SELECT * FROM q WHERE url NOT IN (SELECT url FROM s)")
 def seed_overwrite(spark, d):
     return upsert(_queue_ids(spark, d), _seed(spark, d), ["url"])
 
@@ -345,14 +348,30 @@ def seed_summary(spark, d):
     return m.groupBy(F.coalesce(F.btrim(F.lower("service")), F.lit("")).alias("service")).agg(F.count(F.lit(1)).alias("urls"), F.sum(F.size("chunk_ids")).alias("ids"))
 
 
+@query(
+    "seed_counts",
+    f"""WITH {_SEED}, {_QUEUE.replace('@N', _NEWEST)}, c AS (SELECT DISTINCT chunk_id FROM chunks WHERE coalesce(source_url, '') <> '' AND coalesce(chunk_id, '') <> '')
+    SELECT (SELECT count(*) FROM c WHERE chunk_id IN (SELECT key FROM vectors)) AS included, (SELECT count(*) FROM c WHERE chunk_id NOT IN (SELECT key FROM vectors WHERE key IS NOT NULL)) AS excluded,
+      count(CASE WHEN url NOT IN (SELECT url FROM queue) THEN 1 END) AS written, count(CASE WHEN url IN (SELECT url FROM queue) THEN 1 END) AS skipped FROM seed""",
+)
+def seed_counts_query(spark, d):
+    return seed_counts(table(spark, d, "chunks"), _ingested(spark, d), latest(table(spark, d, "url_snapshots")))
+
+
+@query("job_seed", f"WITH {_SEED}, {_QUEUE.replace('@N', _NEWEST)} SELECT url, service, coalesce(array_to_string(list_sort(chunk_ids), ','), '-') AS ids FROM queue UNION ALL SELECT url, service, array_to_string(chunk_ids, ',') FROM seed WHERE url NOT IN (SELECT url FROM queue)")
+def job_seed(spark, d):
+    q = seed(table(spark, d, "chunks"), _ingested(spark, d), latest(table(spark, d, "url_snapshots")))
+    return q.select("url", "service", F.coalesce(F.array_join(F.array_sort("chunk_ids"), ","), F.lit("-")).alias("ids"))
+
+
 # ---------------------------------------------------------------- discovery: the last snapshot as sitemap, the one before as queue
 
-_DISC = f"WITH {_QUEUE.replace('queue AS', 'found AS').replace('@N', '45')}, {_QUEUE.replace('@N', '44')}, st AS (SELECT coalesce(f.url, q.url) AS url, CASE WHEN q.url IS NULL THEN 'new' WHEN f.url IS NULL THEN 'removed' ELSE 'kept' END AS status FROM found f FULL JOIN queue q ON f.url = q.url)"
+_DISC = f"WITH {_QUEUE.replace('queue AS', 'found AS').replace('@N', _NEWEST)}, {_QUEUE.replace('@N', _BEFORE)}, st AS (SELECT coalesce(f.url, q.url) AS url, CASE WHEN q.url IS NULL THEN 'new' WHEN f.url IS NULL THEN 'removed' ELSE 'kept' END AS status FROM found f FULL JOIN queue q ON f.url = q.url)"
 
 
 def _discovery(spark, d):
     s = table(spark, d, "url_snapshots")
-    found, queue = latest(s, 45), latest(s, 44)
+    found, queue = latest(s), latest(s, back=1)
     return found, queue, diff(found, queue)
 
 
@@ -412,6 +431,51 @@ def discovery_apply(spark, d):
     return q.select("url", "service", F.coalesce(F.size("chunk_ids"), F.lit(-1)).cast("bigint").alias("n_ids"), "next_check")
 
 
+@query(
+    "job_discover",
+    _DISC
+    + f""", {_IDS}, gone AS (SELECT DISTINCT chunk_id FROM ids JOIN st USING (url) WHERE status = 'removed' AND chunk_id IS NOT NULL AND chunk_id NOT IN (SELECT chunk_id FROM ids JOIN st USING (url) WHERE status <> 'removed' AND chunk_id IS NOT NULL))
+    SELECT 'url' AS kind, url AS name FROM st WHERE status <> 'removed' UNION ALL SELECT DISTINCT 'vector', key FROM vectors WHERE key NOT IN (SELECT chunk_id FROM gone)""",
+)
+def job_discover(spark, d):
+    """Queue and vectors after a scan behind the all-or-nothing guard; no sitemap failed."""
+    found, queue, _ = _discovery(spark, d)
+    services = table(spark, d, "services").select("service", F.lit("").alias("error"))
+    q, v = discover(found, services.filter("error <> ''"), queue, table(spark, d, "vectors").select("key").distinct())
+    return q.select(F.lit("url").alias("kind"), F.col("url").alias("name")).unionByName(v.select(F.lit("vector").alias("kind"), F.col("key").alias("name")))
+
+
+# ---------------------------------------------------------------- the crawl: sitemaps to chunks
+
+_CRAWL = f"""u AS (SELECT u.service, u.url FROM {_URLS} u JOIN services s ON u.service = s.service WHERE u.url <> '' AND starts_with(u.url, s.prefix) AND ends_with(u.url, '.html')
+    AND NOT regexp_matches(u.url, '/api/|-api-reference|doc-history|document-history|release-notes|release-history|/index\\.html$', 'i')
+    AND NOT (u.service = 'vmfleet' AND regexp_matches(u.url, 'instance-types|instance_types|/vmfleet/.*pricing', 'i'))),
+  h AS (SELECT DISTINCT url FROM fetch_results WHERE status = 200 AND html IS NOT NULL AND url IS NOT NULL)"""
+
+
+def _crawled(spark, d):
+    files = sitemap_files(_urls(spark, d).filter("service IS NOT NULL"))
+    urls = crawl_urls(files, table(spark, d, "services"))
+    f = table(spark, d, "fetch_results")
+    return crawl(urls, last_pages(f.filter("fetch_no % 2 = 0")), last_pages(f))
+
+
+@query("crawl_pages", f"WITH {_CRAWL} SELECT service, url, url NOT IN (SELECT url FROM h) AS failed FROM u")
+def crawl_pages(spark, d):
+    return _crawled(spark, d)[0].select("service", "url", (F.col("outcome") == "error").alias("failed"))
+
+
+@query("job_crawl", f"WITH {_CRAWL} SELECT service, count(*) AS total, count(CASE WHEN url NOT IN (SELECT url FROM h) THEN 1 END) AS errors, count(CASE WHEN url IN (SELECT url FROM h) THEN 1 END) AS read FROM u GROUP BY service")
+def job_crawl(spark, d):
+    c = crawl_counts(_crawled(spark, d)[0])
+    return c.select("service", "total", "errors", (F.col("processed") + F.col("skipped")).alias("read"))
+
+
+@query("crawl_chunks")
+def crawl_chunks(spark, d):
+    return _crawled(spark, d)[1]
+
+
 # ---------------------------------------------------------------- refresh
 
 _NOW = "2031-03-04T00:00:00+00:00"
@@ -419,15 +483,15 @@ _NOW = "2031-03-04T00:00:00+00:00"
 
 @query(
     "overdue_per_service",
-    f"WITH {_QUEUE.replace('@N', '45')} SELECT service, url, next_check FROM queue WHERE next_check <= '{_NOW}' AND next_check <> '' QUALIFY row_number() OVER (PARTITION BY service ORDER BY next_check, url) <= 50",
+    f"WITH {_QUEUE.replace('@N', _NEWEST)} SELECT service, url, next_check FROM queue WHERE next_check <= '{_NOW}' AND next_check <> '' QUALIFY row_number() OVER (PARTITION BY service ORDER BY next_check, url) <= 50",
 )
 def overdue_per_service_query(spark, d):
-    return overdue_per_service(latest(table(spark, d, "url_snapshots"), 45).select("service", "url", "next_check"), _NOW, 50)
+    return overdue_per_service(latest(table(spark, d, "url_snapshots")).select("service", "url", "next_check"), _NOW, 50)
 
 
-@query("overdue_global", f"WITH {_QUEUE.replace('@N', '45')} SELECT service, url, next_check FROM queue WHERE next_check <= '{_NOW}' AND next_check <> '' ORDER BY next_check, url LIMIT 50")
+@query("overdue_global", f"WITH {_QUEUE.replace('@N', _NEWEST)} SELECT service, url, next_check FROM queue WHERE next_check <= '{_NOW}' AND next_check <> '' ORDER BY next_check, url LIMIT 50")
 def overdue_global(spark, d):
-    return overdue(latest(table(spark, d, "url_snapshots"), 45).select("service", "url", "next_check"), _NOW, 50)
+    return overdue(latest(table(spark, d, "url_snapshots")).select("service", "url", "next_check"), _NOW, 50)
 
 
 _LASTF = "lastf AS (SELECT * FROM fetch_results WHERE url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url ORDER BY fetch_no DESC) = 1)"
@@ -451,7 +515,7 @@ def _fetched(spark, d):
 
 @query(
     "refresh_apply",
-    f"""WITH {_QUEUE.replace('@N', '45')}, {_LASTF}, {_CIDS}
+    f"""WITH {_QUEUE.replace('@N', _NEWEST)}, {_LASTF}, {_CIDS}
     SELECT q.url, q.service, coalesce(array_to_string(CASE WHEN f.status = 200 THEN n.ids ELSE q.chunk_ids END, ','), '-') AS chunk_ids,
       CASE WHEN f.url IS NULL OR f.status = 0 THEN q.next_check ELSE '2031-04-08T00:00:00+00:00' END AS next_check,
       CASE WHEN f.url IS NULL OR f.status = 0 THEN q.last_checked ELSE '2031-03-04T00:00:00+00:00' END AS last_checked,
@@ -460,43 +524,43 @@ def _fetched(spark, d):
 )
 def refresh_apply(spark, d):
     now = F.lit("2031-03-04 00:00:00").cast("timestamp_ntz")
-    q = apply_refresh(latest(table(spark, d, "url_snapshots"), 45), _fetched(spark, d), now)
+    q = apply_refresh(latest(table(spark, d, "url_snapshots")), _fetched(spark, d), now)
     return q.withColumn("chunk_ids", F.coalesce(F.array_join("chunk_ids", ","), F.lit("-")))
 
 
 @query(
     "refresh_chunk_diff",
-    f"""WITH {_QUEUE.replace('@N', '45')}, {_LASTF}, {_CIDS}, o AS (SELECT url, chunk_ids AS ids FROM queue), x AS (SELECT n.url, n.ids FROM new n JOIN lastf f USING (url) WHERE f.status = 200)
+    f"""WITH {_QUEUE.replace('@N', _NEWEST)}, {_LASTF}, {_CIDS}, o AS (SELECT url, chunk_ids AS ids FROM queue), x AS (SELECT n.url, n.ids FROM new n JOIN lastf f USING (url) WHERE f.status = 200)
     SELECT x.url, array_to_string(list_sort(list_distinct(list_filter(coalesce(o.ids, []), lambda i: NOT list_contains(x.ids, i)))), ',') AS stale,
       array_to_string(list_sort(list_filter(x.ids, lambda i: NOT list_contains(coalesce(o.ids, []), i))), ',') AS added FROM x LEFT JOIN o USING (url)""",
 )
 def refresh_chunk_diff(spark, d):
     new = _fetched(spark, d).filter("status = 200 AND chunk_ids IS NOT NULL").select("url", "chunk_ids")
-    old = latest(table(spark, d, "url_snapshots"), 45).join(new.select("url"), "url", "left_semi")
+    old = latest(table(spark, d, "url_snapshots")).join(new.select("url"), "url", "left_semi")
     return page_diff(old, new).select("url", F.array_join("stale", ",").alias("stale"), F.array_join("added", ",").alias("added"))
 
 
 @query(
     "read_through_cache",
-    f"""WITH {_QUEUE.replace('@N', '45')}, ok AS (SELECT url, html FROM fetch_results WHERE status = 200 AND html IS NOT NULL AND url IS NOT NULL AND fetch_no % 2 = 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY fetch_no DESC) = 1),
+    f"""WITH {_QUEUE.replace('@N', _NEWEST)}, ok AS (SELECT url, html FROM fetch_results WHERE status = 200 AND html IS NOT NULL AND url IS NOT NULL AND fetch_no % 2 = 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY fetch_no DESC) = 1),
     late AS (SELECT url, html FROM fetch_results WHERE status = 200 AND html IS NOT NULL AND url IS NOT NULL AND fetch_no % 2 = 1 QUALIFY row_number() OVER (PARTITION BY url ORDER BY fetch_no DESC) = 1)
     SELECT q.url, CASE WHEN ok.html IS NOT NULL THEN 'cache' WHEN late.html IS NOT NULL THEN 'fetch' ELSE 'none' END AS origin, md5(coalesce(ok.html, late.html)) AS page FROM queue q LEFT JOIN ok USING (url) LEFT JOIN late USING (url)""",
 )
 def read_through_cache(spark, d):
     """Fetches with even numbers stand for the cache, odd ones for the network."""
     f = table(spark, d, "fetch_results")
-    r = read_through(latest(table(spark, d, "url_snapshots"), 45), last_pages(f.filter("fetch_no % 2 = 0")), last_pages(f.filter("fetch_no % 2 = 1")))
+    r = read_through(latest(table(spark, d, "url_snapshots")), last_pages(f.filter("fetch_no % 2 = 0")), last_pages(f.filter("fetch_no % 2 = 1")))
     return r.select("url", "origin", F.md5("html").alias("page"))
 
 
 @query(
     "crawl_dry_run",
-    f"""WITH {_QUEUE.replace('@N', '45')}, c AS (SELECT DISTINCT url FROM fetch_results WHERE status = 200 AND html IS NOT NULL),
+    f"""WITH {_QUEUE.replace('@N', _NEWEST)}, c AS (SELECT DISTINCT url FROM fetch_results WHERE status = 200 AND html IS NOT NULL),
     g AS (SELECT CASE WHEN grouping(service) = 1 THEN 'TOTAL' ELSE service END AS service, count(*) AS pages, count(c.url) AS cached, (count(*) - count(c.url)) * 4 AS seconds FROM (SELECT coalesce(service, '') AS service, url FROM queue) q LEFT JOIN c USING (url) GROUP BY ROLLUP (service))
     SELECT *, CASE WHEN seconds >= 3600 THEN (seconds // 3600) || 'h ' || ((seconds % 3600) // 60) || 'm' WHEN seconds >= 60 THEN (seconds // 60) || 'm' ELSE seconds || 's' END AS duration FROM g""",
 )
 def crawl_dry_run(spark, d):
-    q = latest(table(spark, d, "url_snapshots"), 45).select("url", F.coalesce("service", F.lit("")).alias("service"))
+    q = latest(table(spark, d, "url_snapshots")).select("url", F.coalesce("service", F.lit("")).alias("service"))
     c = last_pages(table(spark, d, "fetch_results")).select("url", F.lit(1).alias("c"))
     n, have = F.count(F.lit(1)), F.count("c")
     return with_total(q.join(c, "url", "left"), "service", pages=n, cached=have, seconds=(n - have) * 4).withColumn("duration", T.duration(F.col("seconds")))
@@ -545,8 +609,7 @@ v AS (SELECT event_no, question, service, CASE WHEN NOT obj THEN 'invalid' WHEN
     _QSQL + "SELECT event_no, outcome, CASE WHEN outcome = 'ok' THEN question END AS question, CASE WHEN outcome = 'ok' AND service IN (SELECT service FROM services) THEN service END AS service_filter FROM v",
 )
 def question_validate(spark, d):
-    names = [r[0] for r in table(spark, d, "services").select("service").collect()]  # a fixed dimension of a few rows
-    return validated(table(spark, d, "questions").select("event_no", "body"), services=names).select("event_no", "outcome", "question", "service_filter")
+    return validated(table(spark, d, "questions").select("event_no", "body"), services=table(spark, d, "services")).select("event_no", "outcome", "question", "service_filter")
 
 
 @query("question_outcomes", _QSQL + "SELECT outcome, count(*) AS n FROM v GROUP BY outcome")

@@ -33,7 +33,7 @@ Q = "q" * 2000
 def test_validation(spark, body, want):
     raw = None if body is None else body if body == "{" else json.dumps(body)
     df = spark.createDataFrame([(1, raw, "x")], "n int, body string, question string")
-    r = validated(df, services=["blobs"]).first()
+    r = validated(df, services=spark.createDataFrame([("blobs",), ("blobs",), (None,)], "service string")).first()
     assert (r.outcome, r.question, r.service_filter) == (want or ("invalid", None, None))
 
 

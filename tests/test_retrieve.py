@@ -46,13 +46,16 @@ def test_context_and_sources(spark):
     assert [(r.n, r["rank"], r.source_url, r.distance, r.similarity) for r in s] == [(1, 1, "u", 0.1, 0.9), (2, 3, "w", 0.3124, 0.6876)]
 
 
-def test_too_many_queries(spark, monkeypatch):
-    from corpusloom.operators import retrieve
+@pytest.mark.parametrize("block", [1, 3, 10_000])
+def test_blocks_of_queries_give_the_same(spark, block):
+    rng = np.random.default_rng(6)
+    x = rng.integers(-2, 3, size=(60, 4)).astype(float)
+    df = spark.createDataFrame([(f"k{i:02d}", v.tolist()) for i, v in enumerate(x)], "key string, v array<float>").repartition(3)
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:9])], "qid long, qv array<float>")
+    got = sorted((r.qid, r["rank"], r.key, round(r.distance, 6)) for r in top_k(df, q, 5, block=block).collect())
+    want = sorted((r.qid, r["rank"], r.key, round(r.distance, 6)) for r in top_k(df, q, 5).collect())
+    assert got == want and len({g[0] for g in got}) == sum(v.any() for v in x[:9])
 
-    monkeypatch.setattr(retrieve, "MAX_QUERIES", 1)
-    q = spark.createDataFrame([(1, [1.0]), (2, [1.0])], "qid long, qv array<float>")
-    with pytest.raises(ValueError):
-        top_k(spark.createDataFrame([("a", [1.0])], "key string, v array<float>"), q)
 
 
 def test_embedder(spark):

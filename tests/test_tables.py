@@ -1,3 +1,4 @@
+import random
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -83,3 +84,23 @@ def test_runs_and_total(spark):
     df = spark.createDataFrame([("k", i, b) for i, b in enumerate([True, True, False, True, True, True])] + [("j", 9, True)], "k string, n int, bad boolean")
     assert rows(runs_of(df, "bad", ["k"], "n", 2)) == [("k", 0, 1, 2), ("k", 3, 5, 3)]
     assert rows(with_total(df, "k", n=F.count(F.lit(1)))) == [("TOTAL", 7), ("j", 1), ("k", 6)]
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 7, 1000])
+def test_runs_across_blocks(spark, block):
+    rng = random.Random(block)
+    log = [(k, n, None if rng.random() < 0.1 else rng.random() < 0.7) for k in ("a", "b", None) for n in sorted(rng.sample(range(60), 30))]
+    want = []
+    for k in ("a", "b", None):
+        run = []
+        for n, bad in [(n, bad) for key, n, bad in log if key == k] + [(None, False)]:
+            if bad:
+                run.append(n)
+            else:
+                if len(run) >= 2:
+                    want.append((k, run[0], run[-1], len(run)))
+                run = []
+    rng.shuffle(log)
+    df = spark.createDataFrame(log, "k string, n long, bad boolean")
+    got = [tuple(r) for r in runs_of(df, "bad", ["k"], "n", 2, block=block).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
