@@ -278,10 +278,12 @@ def lookalike_pairs(df: DataFrame, id_col: str = "doc_id", text: str = "text") -
     h = materialise(form_hashes(df, id_col, text), "forms")
     spellings = h.select("form", "spelled").distinct()
     several = spellings.groupBy("form").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("form")
-    spellings = spellings.join(several, "form", "left_semi")
+    # What is joined grows with the documents, so none of it is broadcast.
+    several = several.hint("merge")
+    spellings = spellings.join(several, "form", "left_semi").hint("merge")
     one, two = spellings.withColumnRenamed("spelled", "sa"), spellings.withColumnRenamed("spelled", "sb")
     alike = one.join(two, "form").filter("sa < sb").select("sa", "sb")
-    docs = h.filter("id IS NOT NULL").join(several, "form", "left_semi")
+    docs = h.filter("id IS NOT NULL").join(several, "form", "left_semi").hint("merge")
     a = docs.select(F.col("id").alias("a"), F.col("spelled").alias("sa"))
     b = docs.select(F.col("id").alias("b"), F.col("spelled").alias("sb"))
     pairs = alike.join(a, "sa").join(b, "sb")
