@@ -23,16 +23,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.urls import page
 from ..session import materialise
 
 #: -ln p is binned to 1/20 and capped; the histogram has at most this many rows whatever the corpus.
 _BINS_PER_NAT, _CAP = 20, 1000
 
 
-def page_of(url: Column) -> Column:
-    return F.substring_index(F.substring_index(url, "?", 1), "#", 1)
-
-
 def exploded_lines(df: DataFrame, id_col: str = "chunk_no", service: str = "service", url: str = "source_url", text: str = "text") -> DataFrame:
     """id, svc, page (64-bit hash), line_no, h1, h2: one row per non-blank line after the first.
 
@@ -41,7 +38,7 @@ def exploded_lines(df: DataFrame, id_col: str = "chunk_no", service: str = "serv
     lines = df.select(
         F.col(id_col).alias("id"),
         F.lower(T.strip(F.col(service))).alias("svc"),
-        F.xxhash64(page_of(F.col(url))).alias("page"),
+        F.xxhash64(page(F.col(url))).alias("page"),
         F.col(url).alias("_u"),
         F.posexplode(F.split(F.lower(F.col(text)), "\n", -1)).alias("pos", "line"),
     ).filter("pos > 0 AND svc IS NOT NULL AND _u IS NOT NULL")

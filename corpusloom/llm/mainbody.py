@@ -47,6 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.urls import page
 from ..operators.extract import Element, parse
 from ..session import materialise
 
@@ -69,7 +70,7 @@ _LINES = "array<struct<no:int,h:bigint,chars:int,marked:int,shape:int,tokens:arr
 
 
 def page_of(url: Column) -> Column:
-    return F.xxhash64(F.substring_index(F.substring_index(T.strip(url), "?", 1), "#", 1))
+    return F.xxhash64(page(T.strip(url)))
 
 
 def wording(line: Column) -> Column:

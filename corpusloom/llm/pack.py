@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY = 2048
-#: Documents of one shard. A shard leaves a few containers partly filled, so shards should not be small.
+#: Documents of one shard, on average. Each shard leaves some containers partly filled, one or two of them on the test
+#: tables, so more rows mean more shards of the same size and the same share of loss.
 SHARD_ROWS = 40_000
 _TOKEN = r"(?U)[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x1c-\x1f]+"
 
@@ -98,4 +99,5 @@ def pack(df: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text:
             }
         )
 
-    return docs.groupBy("shard").applyInPandas(place, _OUT)
+    # As many partitions as shards, named so that they are not merged into one task.
+    return docs.repartition(shards, "shard").groupBy("shard").applyInPandas(place, _OUT)
