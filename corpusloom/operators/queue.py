@@ -25,10 +25,11 @@ def latest(snapshots: DataFrame, back: int = 0) -> DataFrame:
     from ..functions import text as T
     from .dedupe import keep_last
 
-    number = snapshots.agg(F.max("snapshot_no").alias("n"))
+    # One number, read first from the one column, so that the filter reaches the scan as a literal.
+    number = snapshots.agg(F.max("snapshot_no")).first()[0]
     for _ in range(back):
-        number = snapshots.filter(F.col("snapshot_no") < number.scalar()).agg(F.max("snapshot_no").alias("n"))
-    rows = snapshots.filter((F.col("snapshot_no") == number.scalar()) & F.col("url").isNotNull()).withColumn("url", T.strip(F.col("url")))
+        number = snapshots.filter(F.col("snapshot_no") < F.lit(number)).agg(F.max("snapshot_no")).first()[0]
+    rows = snapshots.filter((F.col("snapshot_no") == F.lit(number)) & F.col("url").isNotNull()).withColumn("url", T.strip(F.col("url")))
     return keep_last(rows, ["url"], "load_no")
 
 

@@ -1,9 +1,10 @@
+import os
 from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.session import materialise, shared_dir
+from corpusloom.session import materialise, scratch, shared_dir
 from corpusloom.sources.chunk_files import read_chunk_files, write_chunk_files
 from corpusloom.sources.pages import last_pages, read_through
 from corpusloom.sources.sitemaps import sitemap_files, sitemap_urls
@@ -88,3 +89,15 @@ def test_windowed_counts(spark, tmp_path):
     q = s.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.n for r in spark.table("counts").collect()) == [1, 2, 3]
+
+
+def test_scratch_folders_are_deleted(spark):
+    with scratch(spark):
+        outer = materialise(spark.range(3), "outer")
+        with scratch(spark):
+            inner = materialise(outer, "inner")
+            paths = [f.removeprefix("file://") for df in (outer, inner) for f in df.inputFiles()]
+            assert inner.count() == 3
+        assert [os.path.exists(p) for p in paths] == [True] * len(outer.inputFiles()) + [False] * (len(paths) - len(outer.inputFiles()))
+        assert outer.count() == 3
+    assert not any(map(os.path.exists, paths))
